@@ -1,0 +1,16 @@
+"""Size checks that decide whether a side of a join may be broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if a bounded count proves it has few rows.
+
+    Beyond the bound the table is left alone, so the join is a shuffle join that adaptive execution
+    may still split where a key is hot.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
