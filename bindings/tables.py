@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from coursequarry import fixed_values as fv
+from coursequarry.schemas import CERTIFICACION, METADATOS_ANALISIS
 from coursequarry.sources.catalogue import seed_platforms
 
 NOW_TEXT = "2024-02-01 00:00:00"
@@ -268,13 +268,13 @@ def ai_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("puesto"),
         F.substring(F.md5(url), 1, 10).alias("id"),
         url.alias("url"),
-        F.concat(F.lit("Documento "), d.cast("string")).alias("titulo"),
+        F.when(d % 9 != 0, F.concat(F.lit("Documento "), d.cast("string"))).alias("titulo"),
+        F.when(d % 10 != 0, F.concat(F.lit("Texto de "), "source")).alias("descripcion"),
+        F.lit(None).cast(CERTIFICACION).alias("certificacion"),
+        now().alias("ultima_verificacion"),
         (F.lit(0.5) + (d % 50) / F.lit(100.0)).alias("confianza"),
         (d % 2 == 1).alias("analisis_pendiente"),
-        F.lit(None).cast(
-            "struct<calidad_ia:double,relevancia_ia:double,recomendacion_personalizada:string,"
-            "razones_calidad:array<string>,advertencias:array<string>>"
-        ).alias("metadatos_analisis"),
+        F.lit(None).cast(METADATOS_ANALISIS).alias("metadatos_analisis"),
     )
 
 

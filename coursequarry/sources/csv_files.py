@@ -23,7 +23,8 @@ def _write(df: DataFrame, path: str) -> None:
     # A quoted field may hold line ends, so a file is read by one task; files are kept small.
     (
         df.write.mode("overwrite").option("header", True).option("escape", '"')
-        .option("emptyValue", "").option("maxRecordsPerFile", _ROWS_PER_FILE).csv(path)
+        .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", _ROWS_PER_FILE).csv(path)
     )
 
 
