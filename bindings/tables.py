@@ -59,7 +59,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as candidate resources: title, whole visible text with a suffix, edited address."""
+    """Pages as candidate resources: title, whole visible text with a suffix, edited address.
+
+    The exchange stands in for the stored table this would be: without it the text is taken out of the
+    HTML again for every row a join makes of a page, and all of it in one task per input file.
+    """
     page = F.col("page_id")
     visible = F.col("html")
     for pattern in [r"(?s)<script.*?</script>", r"(?s)<style.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>",
@@ -76,7 +80,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("titulo"),
         F.concat(F.trim(visible), F.lit(" "), pick(SUFFIXES, page % 6)).alias("descripcion"),
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("idioma"),
-    )
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

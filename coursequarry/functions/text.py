@@ -10,7 +10,9 @@ from coursequarry import fixed_values as fv
 
 
 def _contains_any(text: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
+    """Whether the text holds one of the terms; the split is folded to a constant array."""
+    listed = F.split(F.lit("\n".join(terms)), "\n")
+    return F.exists(listed, lambda term: F.contains(text, term))
 
 
 def let(value: Column, body) -> Column:
@@ -41,10 +43,9 @@ def level_or_intermediate(nivel: Column) -> Column:
 
 
 def language_code(label: Column) -> Column:
-    expr = F.lit(None).cast("string")
-    for name, code in reversed(fv.LANGUAGE_CODES.items()):
-        expr = F.when(label == name, code).otherwise(expr)
-    return F.coalesce(expr, F.lit(fv.DEFAULT_LANGUAGE))
+    pairs = "\n".join(f"{name}\t{code}" for name, code in fv.LANGUAGE_CODES.items())
+    codes = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
+    return F.coalesce(F.try_element_at(codes, label), F.lit(fv.DEFAULT_LANGUAGE))
 
 
 def resource_id(url: Column) -> Column:
@@ -62,11 +63,13 @@ def level(text: Column, requested: Column) -> Column:
 
 
 def category(tema: Column) -> Column:
-    t = F.lower(or_empty(tema))
-    expr = F.lit(fv.DEFAULT_CATEGORY)
-    for name, terms in reversed(fv.CATEGORY_TERMS):
-        expr = F.when(_contains_any(t, terms), name).otherwise(expr)
-    return expr
+    def first_match(t: Column) -> Column:
+        expr = F.lit(fv.DEFAULT_CATEGORY)
+        for name, terms in reversed(fv.CATEGORY_TERMS):
+            expr = F.when(_contains_any(t, terms), name).otherwise(expr)
+        return expr
+
+    return let(F.lower(or_empty(tema)), first_match)
 
 
 def title_case(c: Column) -> Column:
@@ -103,7 +106,8 @@ def is_valid_resource(url: Column, titulo: Column, descripcion: Column) -> Colum
     The three texts are joined without a separator, so a term may span two of them.
     """
     joined = F.lower(F.concat(or_empty(url), or_empty(titulo), or_empty(descripcion)))
-    return ~_contains_any(F.lower(or_empty(url)), fv.REJECTED_DOMAINS) & let(
+    own = let(F.lower(or_empty(url)), lambda u: ~_contains_any(u, fv.REJECTED_DOMAINS))
+    return own & let(
         joined,
         lambda t: ~_contains_any(t, fv.REJECTED_TERMS) & _contains_any(t, fv.ACCEPTED_TERMS),
     )
@@ -132,16 +136,18 @@ def relevance(titulo: Column, descripcion: Column, tema: Column) -> Column:
 
 
 def domain_confidence(url: Column, priority: Column) -> Column:
-    u = F.lower(or_empty(url))
-    prio = F.when(
-        _contains_any(u, fv.PRIORITY_BONUS_DOMAINS),
-        F.least(F.lit(fv.PRIORITY_CONFIDENCE) + F.lit(fv.PRIORITY_BONUS), F.lit(fv.PRIORITY_CEILING)),
-    ).otherwise(F.lit(fv.PRIORITY_CONFIDENCE))
-    general = F.when(
-        _contains_any(u, fv.GENERAL_BONUS_DOMAINS),
-        F.least(F.lit(fv.GENERAL_CONFIDENCE) + F.lit(fv.GENERAL_BONUS), F.lit(fv.GENERAL_CEILING)),
-    ).otherwise(F.lit(fv.GENERAL_CONFIDENCE))
-    return F.when(priority, prio).otherwise(general)
+    def scored(base: float, domains: list[str], bonus: float, ceiling: float) -> Column:
+        raised = F.lit(min(base + bonus, ceiling))
+        return F.when(let(F.lower(or_empty(url)), lambda u: _contains_any(u, domains)), raised).otherwise(
+            F.lit(base)
+        )
+
+    return F.when(
+        priority,
+        scored(fv.PRIORITY_CONFIDENCE, fv.PRIORITY_BONUS_DOMAINS, fv.PRIORITY_BONUS, fv.PRIORITY_CEILING),
+    ).otherwise(
+        scored(fv.GENERAL_CONFIDENCE, fv.GENERAL_BONUS_DOMAINS, fv.GENERAL_BONUS, fv.GENERAL_CEILING)
+    )
 
 
 def clean_chat(text: Column) -> Column:

@@ -136,9 +136,10 @@ def known_lists(topics: DataFrame, templates: DataFrame) -> DataFrame:
         .groupBy(F.col("idioma").alias("clave_idioma"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", "nombre", "plantilla"))).alias("conocidas"))
     )
+    # One row per template language: three, whatever the data.
     return (
         topics.withColumn("clave_idioma", key)
-        .join(broadcast_if_small(per_language), "clave_idioma", "left")
+        .join(F.broadcast(per_language), "clave_idioma", "left")
         .drop("clave_idioma")
     )
 
