@@ -5,7 +5,8 @@ token of that text. The match is therefore worked out once per distinct token, n
 
 1. the distinct tokens of all texts and the distinct keywords of all topics meet on a three-letter
    gram (equi-join), and containment is checked on those few pairs;
-2. the surviving (token, keyword) pairs lead back to the resources over the token (equi-join);
+2. the surviving (token, keyword) pairs are written down and lead back to the resources over the token
+   (equi-join; pairs known to be few are broadcast, so that texts are not shuffled at all);
 3. topic weights are summed per (topic, resource) and cut to the best ones before the topic shuffle.
 """
 
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursequarry import fixed_values as fv
 from coursequarry.functions import text as tx
+from coursequarry.operators.sizes import broadcast_if_small
+from coursequarry.sources.scratch import cut_lineage
 
 _GRAM = 3
+_BROADCAST_PAIRS = 500_000
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -76,10 +80,11 @@ def topic_matches(topics: DataFrame, resources: DataFrame) -> DataFrame:
     """(tema, page_id, confianza, relevancia) for every topic and resource with relevance above zero."""
     keywords = topic_keywords(topics)
     tokens = resource_tokens(resources)
+    pairs = cut_lineage(token_keywords(tokens, keywords))
     in_title = F.max(F.col("en_titulo").cast("int"))
     in_text = F.max((~F.col("en_titulo")).cast("int"))
     found = (
-        tokens.join(token_keywords(tokens, keywords), "ficha")
+        tokens.join(broadcast_if_small(pairs, _BROADCAST_PAIRS), "ficha")
         .groupBy("page_id", "palabra")
         .agg((in_title * F.lit(1.0) + in_text * F.lit(0.5)).alias("peso"),
              F.max("confianza").alias("confianza"))
@@ -96,8 +101,9 @@ def topic_search(topics: DataFrame, resources: DataFrame,
                  limit: int = fv.WEB_TOTAL_ITEMS) -> DataFrame:
     """The best valid resources per topic by relevance, then confidence, then page_id.
 
-    `resources` is (page_id, url, titulo, descripcion). Texts are read again for the winners of each
-    distinct topic, and are dropped before those meet the requests.
+    `resources` is (page_id, url, titulo, descripcion). Two intermediate tables are written: the token
+    pairs and the winners. Texts are read once more, only for pages that won somewhere, and are reduced
+    to their level before they meet winners and requests.
     """
     valid = resources.where(
         tx.is_valid_resource(F.col("url"), F.col("titulo"), F.col("descripcion"))
@@ -105,19 +111,19 @@ def topic_search(topics: DataFrame, resources: DataFrame,
     best = Window.partitionBy("tema").orderBy(
         F.col("relevancia").desc(), F.col("confianza").desc(), "page_id"
     )
-    winners = (
+    winners = cut_lineage(
         topic_matches(topics, valid)
         .withColumn("puesto", F.row_number().over(best))
         .where(F.col("puesto") <= limit)
         .drop("confianza")
     )
-    described = winners.join(valid, "page_id").select(
-        "tema", "puesto", "page_id", "url", "titulo",
+    pages = valid.join(winners.select("page_id").distinct(), "page_id", "left_semi").select(
+        "page_id", "url", "titulo",
         tx.platform(F.col("url")).alias("plataforma"),
         tx.level(F.concat("titulo", F.lit(" "), "descripcion"), F.lit(fv.ANY_LEVEL)).alias("nivel_texto"),
-        tx.category(F.col("tema")).alias("categoria"),
-        "confianza", "relevancia",
+        "confianza",
     )
+    described = winners.join(pages, "page_id").withColumn("categoria", tx.category(F.col("tema")))
     requested = F.when(tx.any_level(F.col("nivel")), F.col("nivel_texto")).otherwise(F.col("nivel"))
     return topics.join(described, "tema").select(
         "query_id", "tema", "puesto", "page_id", "url", "titulo", "plataforma",

@@ -1,4 +1,4 @@
-"""Checkpoints and scratch files in the shared folder the cluster names."""
+"""Intermediate tables in the shared folder the cluster names for checkpoints."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The table written to reliable storage, so that later steps do not repeat the earlier ones."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows written to a table in the shared folder and read back.
+
+    Later steps do not repeat the earlier ones and survive lost executors, and the optimizer knows the
+    size of what was written.
+    """
+    path = scratch_path(df.sparkSession, "paso")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
