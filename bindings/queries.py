@@ -16,7 +16,7 @@ from coursequarry.operators.topic_match import topic_search as match_topics
 from coursequarry.plans import digest, report
 from coursequarry.plans.search import SearchOptions, multilayer_search as search, search_candidates
 from coursequarry.sources import activity_log, catalogue as cat, csv_files, landed, requests as rq
-from coursequarry.sources.scratch import scratch_path
+from coursequarry.sources.scratch import cut_lineage, scratch_path
 
 _META = ["fuente", "relevancia", "prioritario", "confianza_db"]
 
@@ -129,7 +129,8 @@ def context_digest(spark, d):
 
 
 def topic_search(spark, d):
-    return match_topics(_topics(spark, d), b.resources(spark, d))
+    # The search reads its resources three times; as a written table they are derived once.
+    return match_topics(_topics(spark, d), cut_lineage(b.resources(spark, d)))
 
 
 def request_rows(spark, d):
