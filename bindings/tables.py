@@ -80,7 +80,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("titulo"),
         F.concat(F.trim(visible), F.lit(" "), pick(SUFFIXES, page % 6)).alias("descripcion"),
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("idioma"),
-    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    ).repartition("page_id")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

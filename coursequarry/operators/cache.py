@@ -177,12 +177,13 @@ def cache_snapshot(judged: DataFrame, now: Column) -> DataFrame:
     entries.
     """
     last = F.max_by(F.struct("ts", "n_resultados"), F.struct("ts", "event_id"))
-    entries = judged.where(~F.col("acierto")).groupBy("clave").agg(last.alias("e")).select(
-        "clave",
-        (now - F.col("e.ts")).cast("interval second").cast("bigint").alias("edad_s"),
-        F.col("e.n_resultados").alias("n_resultados"),
-        F.lit(None).cast("bigint").alias("entradas"),
-    )
-    return entries.unionByName(
-        entries.agg(F.count("*").alias("entradas")), allowMissingColumns=True
+    entries = judged.where(~F.col("acierto")).groupBy("clave").agg(last.alias("e"))
+    # The roll-up runs over one row per key and gives the total without judging the requests again.
+    per_key = F.grouping("clave") == 0
+    return entries.rollup("clave").agg(
+        F.when(
+            per_key, (now - F.max("e.ts")).cast("interval second").cast("bigint")
+        ).alias("edad_s"),
+        F.when(per_key, F.max("e.n_resultados")).alias("n_resultados"),
+        F.when(~per_key, F.count("*")).alias("entradas"),
     )

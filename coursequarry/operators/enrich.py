@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from coursequarry import schemas
 from coursequarry.functions import replies as rp
 from coursequarry.operators.ranking import rerank
 
@@ -13,6 +17,19 @@ def needs_analysis(results: DataFrame) -> DataFrame:
     return results.where(F.col("analisis_pendiente") & F.col("metadatos_analisis").isNull())
 
 
+def replies_from(results: DataFrame,
+                 scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Reply rows of a scorer supplied by the caller, asked only for the rows that wait.
+
+    The scorer gets batches of (query_id, id, titulo, descripcion, nivel, categoria, plataforma) and
+    yields batches of `schemas.AI_REPLIES`; it is where a model would be called.
+    """
+    asked = needs_analysis(results).select(
+        "query_id", "id", "titulo", "descripcion", "nivel", "categoria", "plataforma"
+    )
+    return asked.mapInPandas(scorer, schemas.AI_REPLIES)
+
+
 def enrich(results: DataFrame, replies: DataFrame, enabled: bool = True) -> DataFrame:
     """Results with the reply scores of the rows that wait for one.
 

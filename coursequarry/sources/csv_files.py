@@ -69,7 +69,7 @@ def imported_results(rows: DataFrame, now: Column) -> DataFrame:
         F.coalesce(text_to_double(cell("confianza")), F.lit(fv.CSV_DEFAULT_CONFIDENCE))
         .alias("confianza"),
         with_default("tipo"),
-        F.coalesce(F.try_to_timestamp(cell("verificado")).cast("timestamp_ntz"), now)
+        F.coalesce(cell("verificado").try_cast("timestamp_ntz"), now)
         .alias("ultima_verificacion"),
         F.lit(True).alias("activo"),
         F.struct(

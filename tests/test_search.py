@@ -190,6 +190,25 @@ def test_enrich_leaves_other_rows_alone(spark, sf_dir):
     assert out.where("metadatos_analisis IS NOT NULL AND (confianza < 0.5 OR confianza > 0.99)").isEmpty()
 
 
+def test_scorer_is_asked_for_waiting_rows(spark):
+    topics = topics_of(spark, [(1, "álgebra", "es", "Todos")])
+    found = multilayer_search(topics, b.now(), catalogue=cat.seed_platforms(spark),
+                              options=SearchOptions(max_analysis=2))
+
+    def scorer(batches):
+        for pdf in batches:
+            yield pdf[["query_id", "id"]].assign(respuesta='{"calidad_educativa": 0, "relevancia_usuario": 0}')
+
+    replies = en.replies_from(found, scorer)
+    assert replies.count() == 2
+    out = en.enrich_and_rerank(found, replies).orderBy("puesto").collect()
+    assert [r.puesto for r in out] == list(range(1, len(out) + 1))
+    scored = [r for r in out if r.metadatos_analisis]
+    # Both lose a share of their confidence and fall behind the rows that were not scored.
+    assert [r.puesto for r in scored] == [len(out) - 1, len(out)]
+    assert not any(r.analisis_pendiente for r in out)
+
+
 def test_csv_keeps_ten_columns_and_fills_defaults(spark, tmp_path):
     line = ("r1", 'Di "hola", tú\nsí', "http://a.com/x", " Web ", None, "es", "General", 0.825, "oculta")
     row = spark.createDataFrame(
