@@ -122,6 +122,31 @@ def test_layout_does_not_matter(spark, sf_dir):
     assert run(1) == run(7)
 
 
+def test_same_without_broadcast(spark, sf_dir, monkeypatch):
+    """The way taken when a side is too large to broadcast gives the same rows."""
+    from coursequarry.operators import topic_match
+
+    topics, catalogue = prepare_topics(b.requests(spark, sf_dir)), b.catalogue(spark, sf_dir)
+    resources = b.resources(spark, sf_dir)
+
+    def run():
+        hidden = cand.expand(cand.hidden_lists(topics, catalogue), b.now())
+        best = topic_search(topics, resources)
+        return (sorted((r.query_id, r.pos, r.id) for r in hidden.collect()),
+                sorted((r.query_id, r.puesto, r.page_id) for r in best.collect()))
+
+    small = run()
+    for module in (cand, topic_match):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, *_: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_search_plan_has_two_exchanges_on_topics(spark, sf_dir):
     """Topics and items meet on query_id; nothing after that is shuffled again."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
