@@ -125,4 +125,67 @@ ORACLE_SQL = {
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(other) AS component_id
         FROM w JOIN reach USING (doc_id) LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n
     """,
+    "op9_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+            FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+        v AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM v),
+        good AS (
+            SELECT page_id, avg(quality) AS good
+            FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{1,18})([^0-9]|$)', 1) AS BIGINT) AS doc_id FROM p)
+            JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY page_id),
+        hosts AS (
+            SELECT host, string_split(host, '.') AS parts, coalesce(sum(good), 0)::DOUBLE AS good, count(good) AS n
+            FROM p LEFT JOIN good USING (page_id) GROUP BY host),
+        suffixed AS (
+            SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.')
+                           ELSE parts[-1] END AS suffix FROM hosts),
+        named AS (
+            SELECT *, CASE WHEN len(parts) < len(string_split(suffix, '.')) + 1 THEN host
+                           ELSE array_to_string(parts[-(len(string_split(suffix, '.')) + 1):], '.') END AS domain FROM suffixed),
+        mean AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1) / (sum(n) + 2) ELSE 1.0 END AS m FROM named),
+        {levels}
+        judged AS (SELECT host, rate + {width} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {floor} AS blocked FROM host_rate),
+        ruled AS (
+            SELECT page_id, host, path, CASE
+                {rules}
+                END AS hit FROM p)
+        SELECT r.page_id, r.host, r.path, substr(hit, 7) AS rule,
+               CASE WHEN hit IS NOT NULL THEN trim(left(hit, 6)) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled r JOIN judged USING (host)
+    """,
 }
+
+_LEVEL_SQL = """
+        {level}_sum AS (
+            SELECT {names}, sum(good) AS good, sum(n) AS n, any_value({prior}) AS prior FROM named {source} GROUP BY {names}),
+        {level}_k AS (
+            SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1000.0 ELSE 1 / least(greatest(
+                (sum(n * (good / n - prior) * (good / n - prior) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)),
+                1e-3), 0.5) - 1 END AS k FROM {level}_sum WHERE n > 1 AND prior > 0 AND prior < 1),
+        {level}_rate AS (
+            SELECT *, a / (a + b) AS rate FROM (
+                SELECT {names}, good + k * prior AS a, n - good + k * (1 - prior) AS b FROM {level}_sum, {level}_k)),
+"""
+
+
+def _url_sql(text: str) -> str:
+    levels, names, prior, source = "", [], "m", ", mean"
+    for level in url_filter.LEVELS:
+        names.append(level)
+        levels += _LEVEL_SQL.format(level=level, names=", ".join(names), prior=prior, source=source)
+        prior, source = "rate", f"JOIN {level}_rate USING ({', '.join(names)})"
+    rules = "\n".join(
+        f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{v:6}{h}{p}'"
+        for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))
+    two = ", ".join(f"'{s}'" for s in url_filter.TWO_PART_SUFFIXES)
+    for name, value in (("two", two), ("levels", levels.strip()), ("rules", rules), ("width", str(url_filter.RANGE)),
+                        ("floor", str(url_filter.FLOOR))):
+        text = text.replace("{" + name + "}", value)
+    return text
+
+
+ORACLE_SQL["op9_url_filter"] = _url_sql(ORACLE_SQL["op9_url_filter"])
