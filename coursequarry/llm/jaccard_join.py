@@ -3,8 +3,8 @@
 1. A shingle that no other set has cannot be shared, so a document with too few shared shingles to reach the
    similarity has no partner. Chunks of documents send each range of the hash space their distinct
    shingles once; what comes back is each document's shared shingles. Equal sets are taken as one from here.
-2. Two similar sets share one of their first shingles in a common order (shared ones by hash, the number follows
-   from the similarity). Documents that share one fall into the same group.
+2. Two similar sets share one of their first shingles in a common order (by rising number of documents, then by hash; how many
+   follows from the similarity). Documents that share one fall into the same group.
 3. In each group a signature tree is built: leaves are documents, nodes hold the OR of their token bitmaps and their range of
    sizes. The tree is joined with itself; node pairs are left out when their sizes, or the largest overlap that
    their bitmaps allow, rule out a link, or when all below them is connected already. Leaf pairs are decided on
@@ -35,13 +35,13 @@ from coursequarry.llm.words import column_bytes, mix, shingle_hashes, word_hashe
 from coursequarry.sources.scratch import cut_lineage
 
 PERCENT = 75
-BLOCK_DOCUMENTS = 2000
+BLOCK_DOCUMENTS = 4000
 BLOCK_BYTES = 16_000_000
 FAN = 8
-_MANY = np.uint32(0xFFFFFFFF)
-_SENT = ("key long, chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary")
-_BACK = "chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary"
-_SETS = "doc_id long, n_shingles long, print binary, tokens binary"
+_SEVERAL = np.uint32(0x80000000)  # in place of an owner: a token's number of owners in its chunk
+_SENT = "key long, chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary"
+_BACK = "chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary, spread binary"
+_SETS = "doc_id long, n_shingles long, print binary, tokens binary, first binary"
 _EDGE = "a long, b long"
 
 
@@ -86,7 +86,7 @@ def _chunk(doc_ids: list, texts: list[np.ndarray], ranges: int, chunk: int) -> I
     token = where << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
     many = (count > 1)[np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
     yield (-1 - chunk, chunk, doc_ids, pack(sizes), b"".join(prints), pack(token[many]), pack(row[many].astype(np.uint32)))
-    u, owner = token[start], np.where(count > 1, _MANY, row[start].astype(np.uint32)).astype(np.uint32)
+    u, owner = token[start], np.where(count > 1, _SEVERAL | count.astype(np.uint32), row[start].astype(np.uint32))
     at = np.searchsorted(where[start], np.arange(ranges + 1, dtype=np.uint64))
     for r in np.flatnonzero(np.diff(at)).tolist():
         lo, hi = at[r], at[r + 1]
@@ -120,44 +120,59 @@ def _send(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _meet(part: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: the tokens that several chunks, or several documents of one, have go back to their owners."""
+    """One hash range: tokens of several documents go back to every chunk that has them, with their number of documents."""
     columns = ["chunk", "doc_ids", "sizes", "prints", "tokens", "owners"]
     if part["key"].iloc[0] < 0:
-        return part[columns]
+        return part[columns].assign(spread=None)
     tokens = np.concatenate([np.frombuffer(t, np.uint32) for t in part["tokens"]])
     owners = np.concatenate([np.frombuffer(o, np.uint32) for o in part["owners"]])
     lengths = np.array([len(t) // 4 for t in part["tokens"]])
     order = np.argsort(tokens, kind="stable")
     group = np.concatenate([[0], np.cumsum(tokens[order][1:] != tokens[order][:-1])])
-    weight = np.bincount(group, np.where(owners[order] == _MANY, 2, 1))
-    shared = np.zeros(len(tokens), bool)
-    shared[order] = weight[group] > 1
-    shared &= owners != _MANY
+    several = owners >= _SEVERAL
+    weight = np.bincount(group, np.where(several, owners & ~_SEVERAL, 1)[order])
+    spread = np.zeros(len(tokens), np.uint32)
+    spread[order] = np.minimum(weight[group], 2**32 - 1).astype(np.uint32)
     high = np.uint64(int(part["key"].iloc[0])) << np.uint64(32)
     out, at = [], 0
     for chunk, n in zip(part["chunk"], lengths):
-        own = shared[at:at + n]
-        if own.any():
-            out.append((chunk, None, None, None, pack(tokens[at:at + n][own].astype(np.uint64) | high),
-                        pack(owners[at:at + n][own])))
+        shared = np.flatnonzero(spread[at:at + n] > 1) + at
+        if len(shared):
+            out.append((chunk, None, None, None, pack(tokens[shared].astype(np.uint64) | high), pack(owners[shared]),
+                        pack(spread[shared])))
         at += n
-    return pd.DataFrame(out, columns=columns)
+    return pd.DataFrame(out, columns=[*columns, "spread"])
 
 
 def _gather(part: pd.DataFrame) -> pd.DataFrame:
-    """One chunk: every document with its size; the shared shingles of those that may have a partner."""
-    head = part[part["doc_ids"].notna()].iloc[0]
+    """One chunk: every document with its size; the shared shingles of those that may have a partner.
+
+    A document's first shingles are the rarest among the shared ones, as many as leave too few for a partner
+    that has none of them.
+    """
+    heads = part["doc_ids"].notna()
+    head, replies = part[heads].iloc[0], part[~heads]
     sizes = np.frombuffer(head["sizes"], np.int64)
-    tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in part["tokens"]])
-    owners = np.concatenate([np.frombuffer(o, np.uint32) for o in part["owners"]]).astype(np.int64)
-    order = np.lexsort((tokens, owners))
+    answered, owner, count = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in replies[c])])
+                              for c, kind in (("tokens", np.uint64), ("owners", np.uint32), ("spread", np.uint32)))
+    order = np.argsort(answered, kind="stable")
+    answered, owner, count = answered[order], owner[order], count[order]
+    inside, inside_owner = np.frombuffer(head["tokens"], np.uint64), np.frombuffer(head["owners"], np.uint32)
+    single = owner < _SEVERAL
+    tokens = np.concatenate([answered[single], inside])
+    owners = np.concatenate([owner[single], inside_owner]).astype(np.int64)
+    counts = np.concatenate([count[single], count[np.searchsorted(answered, inside)] if len(inside) else count[:0]])
+    order = np.lexsort((tokens, counts, owners))
     tokens, owners = tokens[order], owners[order]
     ends = np.searchsorted(owners, np.arange(len(sizes) + 1))
-    sets = [pack(np.unique(tokens[ends[i]:ends[i + 1]])) if n and ends[i + 1] - ends[i] >= need(n) else None
-            for i, n in enumerate(sizes.tolist())]
+    sets, first = [None] * len(sizes), [None] * len(sizes)
+    for i, n in enumerate(sizes.tolist()):
+        own = tokens[ends[i]:ends[i + 1]]
+        if n and len(own) >= need(n):
+            sets[i], first[i] = pack(np.sort(own)), pack(own[:len(own) - need(n) + 1])
     return pd.DataFrame({
         "doc_id": pd.array(list(head["doc_ids"]), "Int64"), "n_shingles": sizes,
-        "print": [head["prints"][16 * i:16 * i + 16] for i in range(len(sizes))], "tokens": sets})
+        "print": [head["prints"][16 * i:16 * i + 16] for i in range(len(sizes))], "tokens": sets, "first": first})
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -181,16 +196,14 @@ def _pairs_of(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def token_edges(sets: DataFrame, ranges: int) -> DataFrame:
-    """(a, b): a path of edges joins any two sets (id, n, tokens) with a common one among their first tokens."""
+    """(a, b): a path of edges joins any two sets (id, first) with a common one among their first tokens."""
 
     def send(batches):
         own = -1 - TaskContext.get().partitionId()
         for batch in batches:
             token, owner = [], []
-            for i, n, t in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "tokens"))):
-                t = np.frombuffer(t, np.uint64)
-                first = t[:len(t) - need(n) + 1]
-                token.append(first), owner.append(np.full(len(first), i, np.int64))
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("first").to_pylist()):
+                token.append(np.frombuffer(t, np.uint64)), owner.append(np.full(len(t) // 8, i, np.int64))
             pairs, t, i = _pairs_of(np.concatenate(token), np.concatenate(owner))
             spread = mix(t)
             order = np.argsort(spread)
@@ -212,7 +225,7 @@ def token_edges(sets: DataFrame, ranges: int) -> DataFrame:
             pairs = _pairs_of(np.frombuffer(x, np.uint64), y)[0]
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(send, "key long, x binary, y binary").groupBy("key").applyInPandas(
+    return sets.select("id", "first").mapInArrow(send, "key long, x binary, y binary").groupBy("key").applyInPandas(
         meet, _EDGE)
 
 
@@ -310,8 +323,12 @@ def _join_block(block: pd.DataFrame) -> pd.DataFrame:
     block = block.drop_duplicates("id")
     sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
     parts = block["part"].to_numpy() if "part" in block else None
-    found = TreeJoin(block["id"].to_numpy(np.int64), block["n"].to_numpy(np.int64), sets, parts).join_self()
-    return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+    join = TreeJoin(block["id"].to_numpy(np.int64), block["n"].to_numpy(np.int64), sets, parts)
+    join.join_self()
+    if parts is not None:
+        return pd.DataFrame(np.array(join.found, np.int64).reshape(-1, 2), columns=["a", "b"])
+    least = pd.Series(join.ids).groupby(join.part).transform("min").to_numpy()
+    return pd.DataFrame({"a": join.ids, "b": least})[join.ids != least]
 
 
 def _sliced(sets: DataFrame) -> tuple[DataFrame, bool]:
@@ -332,14 +349,20 @@ def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(sets.join(labels, "id", "left").withColumn("part", F.coalesce("part", "id")), "teile")
 
 
-def group_links(sets: DataFrame) -> DataFrame:
-    """(a, b): verified links whose connected components are those of all links inside the groups."""
+def group_labels(sets: DataFrame) -> DataFrame:
+    """(a, b): every set (group, id, n, tokens) that verified links lead to a smaller one from, and the smallest of them.
+
+    A group of one block is settled in it. The blocks of larger groups are linked further and their parts found by
+    `connected`.
+    """
     sliced, large = _sliced(sets)
     sliced = cut_lineage(sliced, "bloecke")
-    edges = cut_lineage(sliced.groupBy("group", "slice").applyInPandas(_join_block, _EDGE), "kanten")
     if not large:
-        return edges
-    members = sliced.filter("slices > 1").drop("slice", "slices")
+        return sliced.groupBy("group", "slice").applyInPandas(_join_block, _EDGE)
+    whole = sliced.filter("slices = 1").groupBy("group", "slice").applyInPandas(_join_block, _EDGE)
+    members = sliced.filter("slices > 1")
+    edges = cut_lineage(members.groupBy("group", "slice").applyInPandas(_join_block, _EDGE), "kanten")
+    members = members.drop("slice", "slices")
     for _ in range(20):  # join the blocks' parts over one document of each
         labelled = _labelled(members, edges)
         heads = labelled.filter("id = part").drop("part")
@@ -350,7 +373,8 @@ def group_links(sets: DataFrame) -> DataFrame:
         edges = edges.unionByName(more)
         if not large or not grown:
             break
-    return edges.unionByName(_rest_links(members, edges))
+    parts = connected(edges.unionByName(_rest_links(members, edges)), "teile")
+    return whole.unionByName(parts.filter("node <> label").toDF("a", "b"))
 
 
 def _rest_links(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -381,13 +405,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     known = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(known.groupBy("print").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"),
-        F.max("tokens").alias("tokens")), "klassen")
-    candidates = classes.filter("tokens is not null").select("id", "n", "tokens")
-    size = candidates.agg(F.sum(F.length("tokens"))).first()[0] or 0
+        F.max(F.struct("tokens", "first")).alias("set")), "klassen")
+    candidates = classes.filter("set.tokens is not null").select("id", "n", "set.tokens", "set.first")
+    size = candidates.agg(F.sum(F.length("first"))).first()[0] or 0
     groups = connected(token_edges(candidates, range_count(size)), "gruppen")
-    links = group_links(cut_lineage(candidates.join(groups.select(
+    labels = group_labels(cut_lineage(candidates.drop("first").join(groups.select(
         F.col("node").alias("id"), F.col("label").alias("group")), "id"), "kandidaten"))
-    labels = connected(links, "komponenten").select(F.col("node").alias("id"), "label")
+    labels = labels.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    # Every class of a component leads to its smallest one, which has no row of its own.
+    labels = cut_lineage(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()), "komponenten")
     found = classes.select("print", "id", "copies").join(labels, "id", "left").filter(
         "copies > 1 or label is not null").select("print", "copies", F.coalesce("label", "id").alias("component"))
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print"))

@@ -38,37 +38,35 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 def connected(edges: DataFrame, name: str = "grafo") -> DataFrame:
     """(node, label) of every node that an edge (a, b) names; the label is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder, and only two numbers
-    of a round reach the driver.
+    Alternating large-star and small-star rounds until every node hangs on its smallest one; each round is
+    written to the shared folder, and only a flag of it reaches the driver.
     """
-    now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .distinct(), name)
-    seen = None
-    while True:
-        now = cut_lineage(_star(_star(now, large=True), large=False), name)
-        digest = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
-        if tuple(digest) == seen:
-            break
-        seen = tuple(digest)
+    now = cut_lineage(_star(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")),
+                            large=False).distinct(), name)
+    while not _is_flat(now):
+        now = cut_lineage(_star(_star(now, large=True), large=False).distinct(), name)
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label")))
 
 
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none if an edge leads to it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).filter(
+        "down > 1 or down > 0 and up > 0").limit(1).count() == 0
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: every neighbour of a node is tied to the smallest node of the neighbourhood instead."""
+    """One step: the neighbours of a node (large: those above it, else it and those below) are tied to the smallest one."""
+    near = edges
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        near = edges
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = near.join(least, "a")
+    joined = near.join(near.groupBy("a").agg(F.min("b").alias("m")), "a").withColumn("m", F.least("a", "m"))
     if large:
-        tied = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return tied.distinct()
-    tied = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-        least.select("a", F.col("m").alias("b")))
-    return tied.filter("a <> b").distinct()
+        return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list:
