@@ -19,27 +19,47 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from coursequarry.llm.words import column_bytes, row_blocks
+
 SHORT = 64
-MEMO = 300_000
-_PLAIN = re.compile(rb"[!-~]+")
-_CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+MEMO = 500_000
+# Words of printable ASCII and Latin letters that are single code points in normal form and have a lower case of one.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017e]+|[0-9]|[^a-z0-9\u00df-\u017e]+")
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[9:14] = 0x20
+_SMALL = _SPACES.copy()
+_SMALL[65:91] += 32
+BLOCK_BYTES = 3_000_000
 _NONE = 1 << 60
 
 
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte: printable Latin-1 ones for themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+_SYMBOLS = _byte_symbols()
+
+
 class Words(dict):
-    """Word bytes -> something derived from them; forgets all when full, so that it stays bounded."""
+    """Word -> something derived from them; forgets all when full, so that it stays bounded."""
 
     def __init__(self, derive, limit: int = MEMO):
         super().__init__()
         self.derive, self.limit = derive, limit
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word):
         out = self.derive(word)
         if len(word) <= 64:
             if len(self) >= self.limit:
@@ -48,11 +68,47 @@ class Words(dict):
         return out
 
 
-def cut_word(word: bytes, special: re.Pattern | None) -> list[bytes] | None:
-    """The pieces of a plain ASCII word, lower-cased; None for words that need the full text rules."""
-    if not _PLAIN.fullmatch(word) or (special is not None and special.search(word)):
-        return None
-    return _CUT.findall(word.lower())
+def cut_word(word: str) -> list[str] | None:
+    """The pieces of a plain word, lower-cased; None for words that need the full text rules."""
+    return _CUT.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else None
+
+
+def in_symbols(piece: str) -> str:
+    return piece if piece.isascii() else "".join([_SYMBOLS[b] for b in piece.encode()])
+
+
+def encode_texts(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, and where each text's ids begin (one more at the end).
+
+    The texts are cut into words and the words numbered by Arrow, so that each distinct word of the block is
+    looked up once and the ids are gathered by numpy. ASCII letters are made small first, which leaves fewer
+    words and changes no token, unless there are marks that combine with letters or what may be an added token.
+    """
+    data, offsets = column_bytes(texts)
+    raw = data.tobytes()
+    odd = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+    texts = pa.Array.from_buffers(pa.large_binary(), len(texts), [
+        None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer((_SPACES if odd else _SMALL)[data])])
+    split = pc.split_pattern(texts, b" ")
+    known = split.flatten().dictionary_encode()
+    which = known.indices.to_numpy()
+    ids = [words[w] for w in known.dictionary.to_pylist()]
+    size = np.array([len(i) // 4 for i in ids], np.int64)
+    every = np.frombuffer(b"".join(ids), "<u4")
+    begin = np.cumsum(size) - size
+    own = size[which]
+    end = np.concatenate([[0], np.cumsum(own)])
+    at = np.repeat(begin[which] - end[:-1], own) + np.arange(end[-1])
+    offsets = split.offsets.to_numpy()
+    return every[at], end[offsets - offsets[0]]
+
+
+def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array]]:
+    """Runs of rows of a batch whose texts have a bounded size together: first row, end, texts."""
+    column = batch.column("text").cast(pa.large_string())
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    for i, j in row_blocks(np.concatenate([[0], np.cumsum(sizes)]), BLOCK_BYTES):
+        yield i, j, column.slice(i, j - i)
 
 
 class Bpe:
@@ -65,8 +121,8 @@ class Bpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.rules = Tokenizer.from_str(definition)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added = {k.encode(): v for k, v in added.items()}
-        self.special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") \
+        self.added = added
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") \
             if added else None
         self.strings = {i: s.encode() for s, i in {**self.vocab, **added}.items()}
         self.ranks: dict[tuple[int, int], int] = {}
@@ -78,15 +134,16 @@ class Bpe:
         self.pieces = Words(self._encode_piece)
         self.words = Words(self._encode_word)
 
-    def encode(self, text: bytes) -> bytes:
-        """All ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def encode(self, text: str) -> bytes:
+        """All ids of a text as little-endian unsigned 32-bit integers."""
+        return encode_texts(pa.array([text]), self.words)[0].tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        return b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b" ".join(map(self.strings.__getitem__, ids.tolist()))
 
     def _encode_word(self, word: bytes) -> bytes:
-        pieces = cut_word(word, self.special)
+        word = word.decode("utf-8", "replace")
+        pieces = cut_word(word)
         if pieces is not None:
             return b"".join([self.pieces[p] for p in pieces])
         out = []
@@ -94,19 +151,19 @@ class Bpe:
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
-                text = self.rules.normalizer.normalize_str(part.decode("utf-8", "replace"))
+                text = self.rules.normalizer.normalize_str(part)
                 out += [self._merge(piece) for piece, _ in self.rules.pre_tokenizer.pre_tokenize_str(text)]
         return b"".join(out)
 
-    def _encode_piece(self, piece: bytes) -> bytes:
-        return self._merge(piece.decode())
+    def _encode_piece(self, piece: str) -> bytes:
+        return self._merge(in_symbols(piece))
 
     def _merge(self, piece: str) -> bytes:
         """Ids of a piece written in byte-level symbols."""
         symbols = [*piece[:-1], piece[-1] + self.suffix]
         parts = [i for i in map(self.vocab.get, symbols) if i is not None]
         parts = self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
-        return np.array(parts, "<u4").tobytes()
+        return array("I", parts).tobytes()
 
     def merge_short(self, parts: list[int]) -> list[int]:
         find = self.ranks.get
@@ -161,11 +218,6 @@ def read_definition(path: str) -> str:
         return f.read()
 
 
-def text_bytes(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
-    for value in batch.column(column).cast(pa.large_binary()):
-        yield value.as_py() or b""
-
-
 _CODED = "doc_id long, ids binary, n_tokens long"
 
 
@@ -176,10 +228,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = load(path, definition.value)
         for batch in batches:
-            ids = [bpe.encode(t) for t in text_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([len(i) // 4 for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            for i, j, texts in text_blocks(batch):
+                ids, offsets = encode_texts(texts, bpe.words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i).cast(pa.int64()),
+                     pa.array([ids[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()),
+                     pa.array(np.diff(offsets))], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, _CODED)
 
@@ -191,54 +245,38 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = load(path, definition.value)
         for batch in batches:
-            texts = [bpe.decode(i or b"").decode() for i in batch.column("ids").to_pylist()]
+            texts = [bpe.decode(np.frombuffer(i or b"", "<u4")).decode() for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoded_with_check(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the SHA-256 of the text decoded from them, of every row."""
+def _checked(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
+    """The ids (or their digest) of every row and the digest of the text decoded from them, in one pass."""
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches):
         bpe = load(path, definition.value)
         for batch in batches:
-            held = []
-            for i, text in enumerate(text_bytes(batch, "text")):
-                held.append(bpe.encode(text))
-                if sum(map(len, held[-64:])) > 1 << 22 or len(held) == 512 or i == batch.num_rows - 1:
-                    lo = i + 1 - len(held)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(lo, len(held)).cast(pa.int64()),
-                         pa.array([len(h) // 4 for h in held], pa.int64()), pa.array(held, pa.binary()),
-                         pa.array([hashlib.sha256(bpe.decode(h)).hexdigest() for h in held], pa.string())],
-                        ["doc_id", "n_tokens", "ids", "decoded_sha256"])
-                    held = []
+            for i, j, texts in text_blocks(batch):
+                ids, offsets = encode_texts(texts, bpe.words)
+                own = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+                coded = pa.array([o.tobytes() for o in own], pa.binary()) if with_ids else pa.array(
+                    [hashlib.sha256(o.tobytes()).hexdigest() for o in own], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.diff(offsets)), coded,
+                     pa.array([hashlib.sha256(bpe.decode(o)).hexdigest() for o in own], pa.string())],
+                    ["doc_id", "n_tokens", "ids" if with_ids else "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+        run, f"doc_id long, n_tokens long, {'ids binary' if with_ids else 'ids_sha256 string'}, decoded_sha256 string")
 
 
-def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them.
-
-    The same encoder and decoder in one pass, so that neither ids nor decoded texts have to leave the task.
-    """
-    definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
+def encoded_with_check(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the SHA-256 of the text decoded from them, of every row."""
+    return _checked(docs, path, True)
 
-    def run(batches):
-        bpe = load(path, definition.value)
-        for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in text_bytes(batch, "text"):
-                ids = bpe.encode(text)
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them."""
+    return _checked(docs, path, False)

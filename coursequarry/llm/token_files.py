@@ -15,6 +15,7 @@ doc_id follow each other; an empty table gives empty files.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from coursequarry.llm.bpe import Words, cut_word, read_definition, text_bytes
+from coursequarry.llm.bpe import Words, cut_word, encode_texts, in_symbols, read_definition, text_blocks
 from coursequarry.llm.tables import range_bounds
-from coursequarry.sources.scratch import cut_lineage
+from coursequarry.llm.words import column_bytes
+from coursequarry.sources.scratch import cut_lineage, scratch_path
 
 END_ID = 1
 PART_IDS = 4_000_000
@@ -66,25 +68,25 @@ def decode_values(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) ->
 
 
 class _Encoder:
-    """The library's encoder behind a bounded memo of words; the library sees each distinct piece once."""
+    """The library's encoder behind bounded memos: it sees each distinct piece of a word once."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.pieces = Words(self._library)
+        self.model = self.tokenizer.model
+        self.pieces = Words(self._piece)
         self.words = Words(self._word)
 
-    def _library(self, piece: bytes) -> bytes:
-        ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(in_symbols(piece))]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        pieces = None if b"<|" in word else cut_word(word, None)
-        return self._library(word) if pieces is None else b"".join([self.pieces[p] for p in pieces])
-
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
+        word = word.decode("utf-8", "replace")
+        pieces = cut_word(word)
+        if pieces is None:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.pieces[p] for p in pieces])
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -96,33 +98,39 @@ def _encoder(path: str, definition: str) -> _Encoder:
     return _encoders[path]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(id, n): how often each id occurs in all documents, end ids included."""
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids): the ids of every text and the end id, as a table in the shared folder."""
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches):
-        encoder, counts = _encoder(path, definition.value), np.zeros(1, np.int64)
+        encoder, end = _encoder(path, definition.value), end_id.to_bytes(4, "little")
         for batch in batches:
-            held, size = [], 0
-            for text in text_bytes(batch, "text"):
-                held.append(encoder.encode(text))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    counts, held, size = _add(counts, held), [], 0
-            counts = _add(counts, held)
-            counts[end_id] += batch.num_rows
+            for i, j, texts in text_blocks(batch):
+                ids, offsets = encode_texts(texts, encoder.words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i),
+                     pa.array([ids[a:b].tobytes() + end for a, b in zip(offsets, offsets[1:])], pa.binary())], ["doc_id", "ids"])
+
+    folder = scratch_path(docs.sparkSession, "ids")
+    docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(
+        run, "doc_id long, ids binary").write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema("doc_id long, ids binary").parquet(folder)
+
+
+def id_counts(coded: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs in all documents, end ids included."""
+
+    def run(batches):
+        counts = np.zeros(1, np.int64)
+        for batch in batches:
+            data, _ = column_bytes(batch.column("ids"))
+            more = np.bincount(data.view("<u4"), minlength=len(counts))
+            more[:len(counts)] += counts
+            counts = more
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    def _add(counts, held):
-        more = np.bincount(np.concatenate([*held, np.array([end_id], "<u4")]))
-        more[end_id] -= 1
-        total = np.zeros(max(len(counts), len(more)), np.int64)
-        total[:len(counts)] += counts
-        total[:len(more)] += more
-        return total
-
-    return docs.select(docs["text"].alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -135,31 +143,29 @@ def rank_table(counts: DataFrame) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
     """Encode every text and write its ids to `folder` (blocks and ranks)."""
     spark = docs.sparkSession
-    counts = cut_lineage(id_counts(docs, path, end_id), "haeufigkeit")
+    plain = encoded(docs, path, end_id)
+    counts = cut_lineage(id_counts(plain), "haeufigkeit")
     ids = rank_table(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     spark.createDataFrame([(int(r), int(i)) for r, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(
         f"{folder}/ranks")
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
-    shared = spark.sparkContext.broadcast((read_definition(path), rank_of))
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    bounds = range_bounds(narrow, "doc_id", max(1, -(-total // PART_IDS)))
+    shared = spark.sparkContext.broadcast(rank_of)
+    bounds = range_bounds(plain, "doc_id", max(1, -(-total // PART_IDS)))
 
     def code(batches):
-        definition, ranks = shared.value
-        encoder = _encoder(path, definition)
         for batch in batches:
             part, control, data = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch, "text")):
-                c, d = encode_values(ranks[np.append(encoder.encode(text), np.uint32(end_id))])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                c, d = encode_values(shared.value[np.frombuffer(ids.as_buffer(), "<u4")])
                 part.append(0 if doc_id is None else bisect_right(bounds, doc_id))
                 control.append(c), data.append(d)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), batch.column("doc_id"), pa.array(control, pa.binary()),
                  pa.array(data, pa.binary())], ["part", "doc_id", "control", "data"])
 
-    coded = narrow.mapInArrow(code, "part int, doc_id long, control binary, data binary")
+    coded = plain.mapInArrow(code, "part int, doc_id long, control binary, data binary")
     ordered = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_blocks, BLOCKS).write.parquet(f"{folder}/blocks")
 
