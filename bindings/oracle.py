@@ -151,12 +151,18 @@ def percent(confianza: str) -> str:
     return f"round_even({confianza} * 100.0::DOUBLE, 0)::INTEGER::VARCHAR || '%'"
 
 
+def finite(path: str) -> str:
+    """A number written as text, NULL where it is none or not finite."""
+    number = f"try_cast(json_extract_string(j, {path}) AS DOUBLE)"
+    return f"CASE WHEN isfinite({number}) THEN {number} END"
+
+
 def score(key: str, default: str) -> str:
     """A score of a readable object: the number, or NULL where it is none."""
     path = f"'$.{key}'"
     return (
         f"CASE WHEN json_type(j, {path}) IS NULL THEN {default} "
-        f"WHEN json_type(j, {path}) = 'VARCHAR' THEN try_cast(json_extract_string(j, {path}) AS DOUBLE) "
+        f"WHEN json_type(j, {path}) = 'VARCHAR' THEN {finite(path)} "
         f"WHEN json_type(j, {path}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') "
         f"THEN json_extract_string(j, {path})::DOUBLE END"
     )
@@ -166,7 +172,7 @@ def score_error(key: str) -> str:
     path = f"'$.{key}'"
     return (
         f"CASE WHEN json_type(j, {path}) = 'VARCHAR' "
-        f"AND try_cast(json_extract_string(j, {path}) AS DOUBLE) IS NULL "
+        f"AND {finite(path)} IS NULL "
         f"THEN 'could not convert string to float: ''' || json_extract_string(j, {path}) || '''' "
         f"WHEN json_type(j, {path}) = 'NULL' "
         f"THEN 'float() argument must be a string or a real number, not ''NoneType''' END"
@@ -261,14 +267,16 @@ SELECT r.query_id, s.ronda, s.pos, p.url AS link,
        CASE WHEN p.page_id % 17 = 0 THEN '' ELSE p.titulo END AS title,
        CASE WHEN p.page_id % 19 <> 0 THEN p.descripcion END AS snippet
 FROM requests r CROSS JOIN slots s
-JOIN resources p ON p.page_id = (r.query_id * 7 + s.salto * 11) % (SELECT max(page_id) + 1 FROM pages)
+JOIN resources p ON p.page_id = ((r.query_id // 1000 * 13 + r.query_id % 1000) * 17 + s.salto * 11)
+                               % (SELECT max(page_id) + 1 FROM pages)
 WHERE r.query_id % 6 <> 5"""
 
 CTE["fallback_pages"] = """
 SELECT r.query_id, CASE WHEN p.page_id % 3 <> 0
                         THEN replace(p.html, 'href="/', 'href="https://site.example/curso/')
                         ELSE replace(p.html, 'href="/', 'href="https://site.example/') END AS html
-FROM requests r JOIN pages p ON p.page_id = r.query_id % (SELECT max(page_id) + 1 FROM pages)"""
+FROM requests r JOIN pages p
+  ON p.page_id = (r.query_id // 1000 * 13 + r.query_id % 1000) % (SELECT max(page_id) + 1 FROM pages)"""
 
 CTE["fallback_links"] = f"""
 SELECT query_id, pos::INTEGER AS pos, link FROM (
@@ -411,7 +419,7 @@ SELECT 'sess_' || user_id AS session_id, min(ts) AS started_at FROM ev
 WHERE event_type = 'signup' GROUP BY 1"""
 CTE["session_ends"] = """
 SELECT 'sess_' || user_id AS session_id, ts FROM ev
-WHERE event_type = 'purchase' AND user_id % 3 <> 0"""
+WHERE event_type = 'purchase'"""
 CTE["settings_log"] = """
 SELECT event_id AS seq, ts, 'opt_' || (user_id % 20) AS clave,
        CASE WHEN floor(value)::BIGINT % 2 = 1 THEN '1' ELSE '0' END AS valor
@@ -425,11 +433,12 @@ FROM ev WHERE event_type = 'view'"""
 CTE["cache_sequence"] = """
 SELECT *, row_number() OVER (PARTITION BY clave ORDER BY ts, event_id) AS rn FROM cache_requests"""
 CTE["cache_walk"] = f"""
-SELECT event_id, ts, clave, n_resultados, rn, FALSE AS acierto, ts AS guardado, n_resultados AS n_guardado
+SELECT event_id, ts, clave, n_resultados, rn, FALSE AS acierto, ts AS guardado, n_resultados AS n_guardado, event_id AS origen
 FROM cache_sequence WHERE rn = 1
 UNION ALL
 SELECT s.event_id, s.ts, s.clave, s.n_resultados, s.rn, h.hit,
-       CASE WHEN h.hit THEN w.guardado ELSE s.ts END, CASE WHEN h.hit THEN w.n_guardado ELSE s.n_resultados END
+       CASE WHEN h.hit THEN w.guardado ELSE s.ts END, CASE WHEN h.hit THEN w.n_guardado ELSE s.n_resultados END,
+       CASE WHEN h.hit THEN w.origen ELSE s.event_id END
 FROM cache_walk w JOIN cache_sequence s ON s.clave = w.clave AND s.rn = w.rn + 1,
      LATERAL (SELECT w.n_guardado > 0
                      AND s.ts < w.guardado + INTERVAL {fv.CACHE_TTL_SECONDS} SECOND AS hit) h"""
@@ -437,7 +446,7 @@ FROM cache_walk w JOIN cache_sequence s ON s.clave = w.clave AND s.rn = w.rn + 1
 # --- replies and chat --------------------------------------------------------------------------------------
 
 CTE["ai_input"] = f"""
-SELECT doc_id AS query_id, 1 AS puesto, {resource_id("'https://' || source || '.example.org/' || doc_id")} AS id,
+SELECT doc_id // 5 AS query_id, (doc_id % 5 + 1)::INTEGER AS puesto, {resource_id("'https://' || source || '.example.org/' || doc_id")} AS id,
        'https://' || source || '.example.org/' || doc_id AS url,
        CASE WHEN doc_id % 9 <> 0 THEN 'Documento ' || doc_id END AS titulo,
        CASE WHEN doc_id % 10 <> 0 THEN 'Texto de ' || source END AS descripcion,
@@ -449,8 +458,10 @@ _FULL = (
     "[\"clara\", \"breve\"], \"recomendacion_personalizada\": \"Vale la pena.\", \"advertencias\": []}'"
 )
 CTE["ai_replies"] = f"""
-SELECT doc_id AS query_id, {resource_id("'https://' || source || '.example.org/' || doc_id")} AS id,
-  CASE doc_id % 8
+SELECT doc_id // 5 AS query_id, {resource_id("'https://' || source || '.example.org/' || doc_id")} AS id,
+  unnest(CASE WHEN doc_id % 10 = 3 THEN [shape, '{{"calidad_educativa": 0.5, "relevancia_usuario": 0.5}}']
+              ELSE [shape] END) AS respuesta
+FROM (SELECT *, CASE doc_id % 12
     WHEN 0 THEN {_FULL}
     WHEN 1 THEN '{{"calidad_educativa": "' || q || '", "relevancia_usuario": "' || r || '"}}'
     WHEN 2 THEN '{{"calidad_educativa": ' || q || ', "advertencias": ["larga"]}}'
@@ -458,15 +469,19 @@ SELECT doc_id AS query_id, {resource_id("'https://' || source || '.example.org/'
     WHEN 4 THEN '{{"calidad_educativa": ' || q || ', oops'
     WHEN 5 THEN '["calidad_educativa", ' || q || ']'
     WHEN 6 THEN 'Claro:' || chr(10) || {_FULL} || chr(10) || 'Suerte.'
-    WHEN 7 THEN '{{"calidad_educativa": "alta", "relevancia_usuario": ' || r || '}}' END AS respuesta
+    WHEN 7 THEN '{{"calidad_educativa": "alta", "relevancia_usuario": ' || r || '}}'
+    WHEN 8 THEN '{{"calidad_educativa": "nan", "relevancia_usuario": ' || r || '}}'
+    WHEN 9 THEN '{{"calidad_educativa": "1e300", "relevancia_usuario": ' || r || '}}'
+    WHEN 10 THEN '{{"calidad_educativa": ' || q || ', "relevancia_usuario": "-Infinity"}}'
+    WHEN 11 THEN '{{"calidad_educativa": "' || repeat('9', 2000) || '", "relevancia_usuario": ' || r || '}}' END AS shape
 FROM (SELECT l.doc_id, d.source, (0.25::DOUBLE + quality / 2.0::DOUBLE)::VARCHAR AS q,
              (1.0::DOUBLE - toxic / 2.0::DOUBLE)::VARCHAR AS r
-      FROM labels l JOIN documents d USING (doc_id))"""
+      FROM labels l JOIN documents d USING (doc_id)))"""
 
 CTE["strict_read"] = """
 SELECT i.*, a.respuesta, a.query_id IS NOT NULL AS contestada,
        CASE WHEN json_valid(a.respuesta) THEN a.respuesta ELSE '{}' END AS j
-FROM ai_input i LEFT JOIN ai_replies a
+FROM ai_input i LEFT JOIN (SELECT query_id, id, max(respuesta) AS respuesta FROM ai_replies GROUP BY ALL) a
   ON a.query_id = i.query_id AND a.id = i.id AND i.analisis_pendiente"""
 CTE["strict_scored"] = f"""
 SELECT *, {score(fv.REPLY_QUALITY, 'confianza')} AS c, {score(fv.REPLY_RELEVANCE, 'confianza')} AS v,
@@ -492,6 +507,21 @@ SELECT query_id, puesto, id, titulo, descripcion, url,
        contestada
 FROM strict_scored"""
 
+CTE["search_replies"] = """
+SELECT query_id, left(md5(link), 10) AS id,
+       max('{"calidad_educativa": 0.' || (pos % 10) || ', "relevancia_usuario": 0.' || (query_id % 10) || '}') AS respuesta
+FROM items WHERE (query_id + pos) % 3 <> 0 GROUP BY ALL"""
+CTE["search_scored"] = f"""
+SELECT r.*, json_extract_string(a.respuesta, '$.{fv.REPLY_QUALITY}')::DOUBLE AS calidad_ia,
+       json_extract_string(a.respuesta, '$.{fv.REPLY_RELEVANCE}')::DOUBLE AS relevancia_ia
+FROM results r LEFT JOIN search_replies a ON a.query_id = r.query_id AND a.id = r.id AND r.analisis_pendiente"""
+CTE["search_enriched"] = f"""
+SELECT * EXCLUDE (puesto), row_number() OVER (PARTITION BY query_id ORDER BY nueva DESC, puesto)::INTEGER AS puesto
+FROM (SELECT *, CASE WHEN calidad_ia IS NULL THEN confianza
+                     ELSE least(greatest(confianza * {q(fv.BLEND_OWN)}
+                            + ((calidad_ia + relevancia_ia) / 2.0::DOUBLE) * {q(fv.BLEND_REPLY)},
+                            {q(fv.BLEND_FLOOR)}), {q(fv.BLEND_CEILING)}) END AS nueva FROM search_scored)"""
+
 CTE["loose_read"] = r"""
 SELECT *, regexp_extract(respuesta, '(?s)\{.*\}', 0) AS bloque,
        CASE WHEN json_valid(regexp_extract(respuesta, '(?s)\{.*\}', 0))
@@ -558,6 +588,10 @@ SELECT query_id, puesto, id, titulo, url, plataforma, idioma, nivel, confianza,
 FROM fallback_results""",
     "dedupe_first": "SELECT query_id, fuente_orden, pos, id, url FROM deduped",
     "multilayer_search": f"SELECT {_SHOWN.replace('pos, ', 'puesto, ')}, analisis_pendiente FROM results",
+    "search_enriched": """
+SELECT query_id, puesto, id, url, nueva AS confianza, analisis_pendiente AND calidad_ia IS NULL AS analisis_pendiente,
+       calidad_ia, relevancia_ia
+FROM search_enriched""",
     "ai_pending": "SELECT query_id, puesto, id, url FROM results WHERE analisis_pendiente",
     "search_events": f"""
 SELECT query_id AS search_id, {NOW} AS ts, t.tema, t.idioma, t.nivel,
@@ -588,8 +622,8 @@ SELECT 'catalogo', NULL, pos, nombre, categoria, NULL
 FROM (SELECT nombre, categoria, row_number() OVER (ORDER BY id)::INTEGER AS pos
       FROM catalogue WHERE activa) WHERE pos <= {fv.DIGEST_PLATFORMS}
 UNION ALL
-SELECT 'resultados', query_id, puesto, titulo, plataforma, NULL
-FROM results WHERE puesto <= {fv.DIGEST_RESULTS}""",
+SELECT 'resultados', query_id, puesto, titulo, plataforma, trunc(calidad_ia * 100)::BIGINT
+FROM search_enriched WHERE puesto <= {fv.DIGEST_RESULTS}""",
     "topic_search": f"""
 SELECT query_id, tema, puesto, page_id, url, titulo, {platform('url')} AS plataforma,
        {level("titulo || ' ' || descripcion", 'nivel')} AS nivel, {category('tema')} AS categoria,
@@ -607,7 +641,8 @@ SELECT query_id, 1 AS ronda, {request_text('tema', 'nivel', fv.REQUEST_SITES)} A
        {fv.WEB_FIRST_ROUND_ITEMS} AS num, {q(fv.REQUEST_LANGUAGE_PREFIX)} || idioma AS lr FROM topics
 UNION ALL
 SELECT query_id, 2, {request_text('tema', 'nivel', fv.REQUEST_EXCLUSIONS)},
-       {fv.WEB_TOTAL_ITEMS}, {q(fv.REQUEST_LANGUAGE_PREFIX)} || idioma FROM topics
+       ({fv.WEB_TOTAL_ITEMS} - (SELECT count(*) FROM valid_items v WHERE v.query_id = t.query_id AND v.ronda = 1))::INTEGER,
+       {q(fv.REQUEST_LANGUAGE_PREFIX)} || idioma FROM topics t
 UNION ALL
 SELECT query_id, 3, {quote_plus(f"trim(tema || {q(fv.FALLBACK_REQUEST_WORDS)} || CASE WHEN nivel = {q(fv.ANY_LEVEL)} THEN '' ELSE nivel END)")},
        {fv.FALLBACK_LINKS}, NULL FROM topics""",
@@ -652,7 +687,8 @@ SELECT query_id, puesto, id, coalesce(nullif(titulo, ''), {q(fv.REPORT_NO_TITLE)
        coalesce(nullif(descripcion, ''), {q(fv.REPORT_NO_DESCRIPTION)}) AS descripcion,
        CASE WHEN contestada THEN {q(fv.STATUS_READY)} WHEN analisis_pendiente THEN {q(fv.STATUS_PENDING)}
             ELSE {q(fv.STATUS_NONE)} END AS estado,
-       trunc(calidad_ia * 100)::INTEGER AS calidad, trunc(relevancia_ia * 100)::INTEGER AS relevancia,
+       try_cast(trunc(calidad_ia * 100) AS INTEGER) AS calidad,
+       try_cast(trunc(relevancia_ia * 100) AS INTEGER) AS relevancia,
        '' AS insignias, {percent('confianza')} AS confianza, strftime({NOW}, '%d/%m/%Y') AS verificado
 FROM enriched""",
     "ai_parse_loose": f"""
@@ -687,7 +723,8 @@ SELECT s.search_id, s.tema, s.ts, coalesce(c.n, 0) AS veces_clickeado
 FROM search_log s LEFT JOIN (
   SELECT l.search_id, count(*) AS n FROM clicks k ASOF JOIN search_log l ON k.tema = l.tema AND k.ts >= l.ts
   GROUP BY 1) c USING (search_id)""",
-    "cache_hits": "SELECT event_id, ts, clave, n_resultados, acierto FROM cache_walk",
+    "cache_hits": """
+SELECT event_id, ts, clave, n_resultados, acierto, CASE WHEN acierto THEN origen END AS respuesta_de FROM cache_walk""",
     "cache_snapshot": f"""
 SELECT clave, floor(epoch({NOW} - ts))::BIGINT AS edad_s, n_resultados, NULL::BIGINT AS entradas
 FROM (SELECT *, row_number() OVER (PARTITION BY clave ORDER BY ts DESC, event_id DESC) AS r

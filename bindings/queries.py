@@ -14,9 +14,9 @@ from coursequarry.operators import activity, cache, candidates as cand, enrich a
 from coursequarry.operators.ranking import dedupe_first
 from coursequarry.operators.topic_match import topic_search as match_topics
 from coursequarry.plans import digest, report
-from coursequarry.plans.search import SearchOptions, multilayer_search as search, search_candidates
+from coursequarry.plans.search import SearchOptions, multilayer_search as search, scored_search, search_candidates
 from coursequarry.sources import activity_log, catalogue as cat, csv_files, landed, requests as rq
-from coursequarry.sources.scratch import cut_lineage, scratch_path
+from coursequarry.sources.scratch import scratch_path
 
 _META = ["fuente", "relevancia", "prioritario", "confianza_db"]
 
@@ -36,6 +36,12 @@ def _results(spark, d):
     return search(_topics(spark, d), b.now(), catalogue=b.catalogue(spark, d), items=b.web_items(spark, d))
 
 
+def _scored(spark, d):
+    items = b.web_items(spark, d)
+    return scored_search(_topics(spark, d), b.now(), b.search_replies(items), catalogue=b.catalogue(spark, d),
+                         items=items)
+
+
 def platforms_active(spark, d):
     return cat.active_platforms(b.catalogue(spark, d))
 
@@ -112,6 +118,13 @@ def search_events(spark, d):
     return activity.search_events(_results(spark, d), _topics(spark, d), b.now())
 
 
+def search_enriched(spark, d):
+    analysis = F.col("metadatos_analisis")
+    return _scored(spark, d).select(
+        "query_id", "puesto", "id", "url", "confianza", "analisis_pendiente",
+        analysis["calidad_ia"].alias("calidad_ia"), analysis["relevancia_ia"].alias("relevancia_ia"))
+
+
 def report_rows(spark, d):
     return report.report_rows(_results(spark, d))
 
@@ -125,12 +138,11 @@ def csv_roundtrip(spark, d):
 
 def context_digest(spark, d):
     return digest.context_digest(b.search_log(spark, d), b.favorites(spark, d), b.catalogue(spark, d),
-                                 _results(spark, d))
+                                 _scored(spark, d))
 
 
 def topic_search(spark, d):
-    # The search reads its resources three times; as a written table they are derived once.
-    return match_topics(_topics(spark, d), cut_lineage(b.resources(spark, d)))
+    return match_topics(_topics(spark, d), b.resources(spark, d))
 
 
 def request_rows(spark, d):
@@ -139,7 +151,7 @@ def request_rows(spark, d):
         "query_id", F.lit(3).alias("ronda"), "q", F.lit(fv.FALLBACK_LINKS).alias("num"),
         F.lit(None).cast("string").alias("lr"),
     )
-    return rq.web_requests(topics).unionByName(fallback)
+    return rq.web_requests(topics, b.web_items(spark, d)).unionByName(fallback)
 
 
 def landed_items(spark, d):
@@ -300,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fallback_search": fallback_search,
     "dedupe_first": dedupe,
     "multilayer_search": multilayer_search,
+    "search_enriched": search_enriched,
     "ai_pending": ai_pending,
     "search_events": search_events,
     "report_rows": report_rows,

@@ -59,11 +59,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as candidate resources: title, whole visible text with a suffix, edited address.
-
-    The exchange stands in for the stored table this would be: without it the text is taken out of the
-    HTML again for every row a join makes of a page, and all of it in one task per input file.
-    """
+    """Pages as candidate resources: title, whole visible text with a suffix, edited address."""
     page = F.col("page_id")
     visible = F.col("html")
     for pattern in [r"(?s)<script.*?</script>", r"(?s)<style.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>",
@@ -80,7 +76,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("titulo"),
         F.concat(F.trim(visible), F.lit(" "), pick(SUFFIXES, page % 6)).alias("descripcion"),
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("idioma"),
-    ).repartition("page_id")
+    )
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +118,23 @@ _SLOTS = [(1, pos, off) for pos, off in enumerate([0, 1, 2, 3, 1, 5, 6, 7])] + [
 ]
 
 
+def _turn_number() -> Column:
+    """A request's number among all turns; its page numbers step through all pages."""
+    query = F.col("query_id")
+    return F.floor(query / 1000) * 13 + query % 1000
+
+
+def _page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").agg((F.max("page_id") + 1).alias("n")).scalar()
+
+
 def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed items: twenty places over two rounds per topic, with repeats in and across rounds.
 
     One topic in six gets no reply at all.
     """
     pages = resources(spark, sf_dir)
-    n_pages = pages.agg((F.max("page_id") + 1).alias("n")).scalar()
+    n_pages = _page_count(spark, sf_dir)
     slots = F.array(*[
         F.struct(F.lit(r).alias("ronda"), F.lit(p).alias("pos"), F.lit(o).alias("salto"))
         for r, p, o in _SLOTS
@@ -136,7 +142,7 @@ def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = (
         requests(spark, sf_dir).where(F.col("query_id") % 6 != 5)
         .select("query_id", F.inline(slots))
-        .withColumn("page_id", (F.col("query_id") * 7 + F.col("salto") * 11) % n_pages)
+        .withColumn("page_id", (_turn_number() * 17 + F.col("salto") * 11) % n_pages)
     )
     return wanted.join(pages, "page_id").select(
         "query_id", "ronda", "pos",
@@ -149,12 +155,12 @@ def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed fallback page per topic; two thirds of them link to course addresses."""
     pages = read(spark, sf_dir, "pages")
-    n_pages = pages.agg((F.max("page_id") + 1).alias("n")).scalar()
+    n_pages = _page_count(spark, sf_dir)
     course = F.replace("html", F.lit('href="/'), F.lit('href="https://site.example/curso/'))
     plain = F.replace("html", F.lit('href="/'), F.lit('href="https://site.example/'))
     return (
         requests(spark, sf_dir)
-        .select("query_id", (F.col("query_id") % n_pages).alias("page_id"))
+        .select("query_id", (_turn_number() % n_pages).alias("page_id"))
         .join(pages, "page_id")
         .select("query_id", F.when(F.col("page_id") % 3 != 0, course).otherwise(plain).alias("html"))
     )
@@ -236,7 +242,7 @@ def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, "purchase").where(F.col("user_id") % 3 != 0).select(
+    return _events(spark, sf_dir, "purchase").select(
         F.concat(F.lit("sess_"), F.col("user_id").cast("string")).alias("session_id"), "ts"
     )
 
@@ -268,8 +274,8 @@ def ai_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), d.cast("string"))
     return read(spark, sf_dir, "documents").select(
-        d.alias("query_id"),
-        F.lit(1).alias("puesto"),
+        F.floor(d / 5).alias("query_id"),
+        (d % 5 + 1).cast("int").alias("puesto"),
         F.substring(F.md5(url), 1, 10).alias("id"),
         url.alias("url"),
         F.when(d % 9 != 0, F.concat(F.lit("Documento "), d.cast("string"))).alias("titulo"),
@@ -283,7 +289,7 @@ def ai_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ai_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reply per labelled document, in eight shapes from clean to broken."""
+    """Replies for labelled documents, in twelve shapes from clean to broken; one in ten gets a second one."""
     labels = read(spark, sf_dir, "labels")
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     d = F.col("doc_id")
@@ -306,12 +312,28 @@ def ai_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         text('["calidad_educativa", ', q, "]"),
         text("Claro:\n", full, "\nSuerte."),
         text('{"calidad_educativa": "alta", "relevancia_usuario": ', r, "}"),
+        text('{"calidad_educativa": "nan", "relevancia_usuario": ', r, "}"),
+        text('{"calidad_educativa": "1e300", "relevancia_usuario": ', r, "}"),
+        text('{"calidad_educativa": ', q, ', "relevancia_usuario": "-Infinity"}'),
+        text('{"calidad_educativa": "', F.repeat(F.lit("9"), 2000), '", "relevancia_usuario": ', r, "}"),
     ]
     shape = F.lit(None).cast("string")
     for i, s in enumerate(shapes):
-        shape = F.when(d % 8 == i, s).otherwise(shape)
+        shape = F.when(d % 12 == i, s).otherwise(shape)
+    again = F.when(d % 10 == 3, '{"calidad_educativa": 0.5, "relevancia_usuario": 0.5}')
     return labels.join(docs, "doc_id").select(
-        d.alias("query_id"), F.substring(F.md5(url), 1, 10).alias("id"), shape.alias("respuesta")
+        F.floor(d / 5).alias("query_id"), F.substring(F.md5(url), 1, 10).alias("id"),
+        F.explode(F.array_compact(F.array(shape, again))).alias("respuesta"),
+    )
+
+
+def search_replies(items: DataFrame) -> DataFrame:
+    """Replies for two thirds of the landed items, by request and resource id; an address given twice has two."""
+    digit, other = (F.col("pos") % 10).cast("string"), (F.col("query_id") % 10).cast("string")
+    return items.where((F.col("query_id") + F.col("pos")) % 3 != 0).select(
+        "query_id", F.substring(F.md5("link"), 1, 10).alias("id"),
+        F.concat(F.lit('{"calidad_educativa": 0.'), digit, F.lit(', "relevancia_usuario": 0.'), other, F.lit("}"))
+        .alias("respuesta"),
     )
 
 

@@ -67,13 +67,13 @@ def analysis_status(analysis: Column, pending: Column) -> Column:
 
 
 def score_percent(score: Column) -> Column:
-    """Whole percent, cut off."""
-    return (score * F.lit(100)).cast("int")
+    """Whole percent, cut off; null for scores that no percentage shows (not finite, or too large)."""
+    return (score * F.lit(100)).try_cast("int")
 
 
 def confidence_percent(confianza: Column) -> Column:
-    """Whole percent as text; exact halves go to the even number."""
-    return F.concat(F.bround(confianza * F.lit(100.0), 0).cast("int").cast("string"), F.lit("%"))
+    """Whole percent as text; exact halves go to the even number. Null where it is not finite or too large."""
+    return F.concat(F.bround(confianza * F.lit(100.0), 0).try_cast("int").cast("string"), F.lit("%"))
 
 
 def shown_title(titulo: Column) -> Column:

@@ -8,8 +8,9 @@ from coursequarry import fixed_values as fv
 from coursequarry.functions.text import let
 from coursequarry.schemas import METADATOS_ANALISIS
 
-_NUMBER = r"(?i)^\s*[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:e[+-]?\d(?:_?\d)*)?\s*$"
-_NOT_FINITE = r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$"
+# Possessive groups: Java matches them in a loop; others of varying width take a stack frame for each digit.
+_NUMBER = r"(?i)^\s*+[+-]?(?:\d(?:_?\d)*+(?:\.(?:\d(?:_?\d)*+)?)?|\.\d(?:_?\d)*+)(?:e[+-]?\d(?:_?\d)*+)?\s*+$"
+_NOT_FINITE = r"(?i)^\s*+[+-]?(?:nan|inf|infinity)\s*+$"
 _EMPTY_LIST = "array<string>"
 
 
@@ -63,11 +64,17 @@ def text_to_double(text: Column) -> Column:
     )
 
 
+def finite_number(text: Column) -> Column:
+    """A number written as text; null where it is none, not finite, or too large for a double."""
+    number = text_to_double(text)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
 def _score(field: Column) -> Column:
-    """A present score as double; null stands for 'not a number'."""
+    """A present score as double; null stands for 'not a number', which a score that is not finite counts as."""
     kind = F.schema_of_variant(field)
     return (
-        F.when(_is(kind, "STRING"), text_to_double(F.try_variant_get(field, "$", "string")))
+        F.when(_is(kind, "STRING"), finite_number(F.try_variant_get(field, "$", "string")))
         .when(_is(kind, "BOOLEAN"), F.try_variant_get(field, "$", "boolean").cast("double"))
         .when(~(_is(kind, "OBJECT") | _is(kind, "ARRAY") | _is(kind, "VOID")),
               F.try_variant_get(field, "$", "double"))
@@ -230,6 +237,4 @@ def blend(confianza: Column, quality: Column, relevance: Column) -> Column:
     """Own confidence and mean reply score, weighted and held within the limits."""
     mean = (quality + relevance) / F.lit(2.0)
     mixed = confianza * F.lit(fv.BLEND_OWN) + mean * F.lit(fv.BLEND_REPLY)
-    held = F.least(F.greatest(mixed, F.lit(fv.BLEND_FLOOR)), F.lit(fv.BLEND_CEILING))
-    # A reply may hold 'nan' as text; it stays what it is.
-    return F.when(F.isnan(mixed), mixed).otherwise(held)
+    return F.least(F.greatest(mixed, F.lit(fv.BLEND_FLOOR)), F.lit(fv.BLEND_CEILING))

@@ -1,4 +1,4 @@
-"""Replay of the expiring result cache over a log of requests.
+"""Which stored result answers a request, over a log of requests with expiring results.
 
 A request is a hit if its key holds a non-empty result stored less than the lifetime ago. Hits do not
 renew the entry; every miss stores its own result, and an empty stored result never makes a hit. So the
@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from coursequarry import fixed_values as fv
 from coursequarry.sources.scratch import cut_lineage
 
-GROUP_ROWS = 50_000
-
 
 def _span(seconds: int) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds))
@@ -30,64 +28,19 @@ def _frame(ts: str, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
-def possible_anchors(requests: DataFrame, ttl: int) -> DataFrame:
-    """(clave, ts, event_id, tramo, episodio, n): non-empty requests, one per key and moment.
-
-    An episode is a run of such requests without a pause of a whole lifetime; after a pause the chain
-    starts afresh whatever came before, so episodes are independent. `n` is the episode's size. Pauses
-    are found from one row per key and frame.
-    """
-    stores = (
-        requests.where(F.col("n_resultados") > 0)
-        .groupBy("clave", "ts").agg(F.min("event_id").alias("event_id"))
-        .withColumn("tramo", _frame("ts", ttl))
-    )
-    by_time = Window.partitionBy("clave").orderBy("tramo")
-    frames = (
-        stores.groupBy("clave", "tramo")
-        .agg(F.min("ts").alias("primera"), F.max("ts").alias("ultima"), F.count("*").alias("filas"))
-        .withColumn("anterior", F.lag("ultima").over(by_time))
-        .withColumn(
-            "nuevo",
-            F.when(F.col("primera") < F.col("anterior") + _span(ttl), 0).otherwise(1),
-        )
-        .withColumn("episodio", F.sum("nuevo").over(by_time))
-        .withColumn("n", F.sum("filas").over(Window.partitionBy("clave", "episodio")))
-        .select("clave", "tramo", "episodio", "n")
-    )
-    return stores.join(frames, ["clave", "tramo"])
-
-
-def _anchors_by_fold(stores: DataFrame, ttl: int) -> DataFrame:
-    """Anchors of episodes small enough to be walked in one row."""
-    point = F.struct("ts", "event_id")
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(
-            acc["hasta"].isNull() | (x["ts"] >= acc["hasta"]),
-            F.struct((x["ts"] + _span(ttl)).alias("hasta"),
-                     F.concat(acc["anclas"], F.array(x)).alias("anclas")),
-        ).otherwise(acc)
-
-    start = F.struct(
-        F.lit(None).cast("timestamp_ntz").alias("hasta"),
-        F.array().cast("array<struct<ts:timestamp_ntz,event_id:bigint>>").alias("anclas"),
-    )
-    return (
-        stores.groupBy("clave", "episodio")
-        .agg(F.array_sort(F.collect_list(point)).alias("puntos"))
-        .select("clave", F.inline(F.aggregate("puntos", start, step, lambda acc: acc["anclas"])))
-    )
+def possible_anchors(requests: DataFrame) -> DataFrame:
+    """(clave, ts, event_id): non-empty requests, one per key and moment."""
+    return requests.where(F.col("n_resultados") > 0).groupBy("clave", "ts").agg(F.min("event_id").alias("event_id"))
 
 
 def _next_store(stores: DataFrame, ttl: int) -> DataFrame:
-    """(clave, episodio, ts, sig): the first possible anchor at least one lifetime after each one.
+    """(clave, ts, sig): the first possible anchor at least one lifetime after each one.
 
     Both sides meet in short slots of time, so a hot key is spread over many tasks; what lies beyond a
     slot comes from one row per key and slot.
     """
     slot = max(ttl // 64, 1)
-    key = ["clave", "episodio"]
+    key = ["clave"]
     points = stores.select(*key, F.col("ts").alias("t"), F.col("ts").alias("sig"),
                            F.lit(1).alias("clase"))
     probes = stores.select(*key, (F.col("ts") + _span(ttl)).alias("t"), F.col("ts").alias("origen"),
@@ -111,62 +64,51 @@ def _next_store(stores: DataFrame, ttl: int) -> DataFrame:
     )
 
 
-def _anchors_by_doubling(stores: DataFrame, ttl: int) -> DataFrame:
-    """Anchors of large episodes, without ever walking a chain in one task.
+def cache_anchors(requests: DataFrame, ttl: int = fv.CACHE_TTL_SECONDS) -> DataFrame:
+    """(clave, ts, event_id) of the stored results that make hits.
 
-    Jump tables of 1, 2, 4, … links are made by joining each with itself. The chain from an episode's
-    first point is then marked from the longest jump down: whatever a marked point jumps to is marked.
+    No chain is ever walked in one task: jump tables of 1, 2, 4, … links are made by joining each with
+    itself. The chain from a key's first point is then marked from the longest jump down: whatever a
+    marked point jumps to is marked.
     """
-    key = ["clave", "episodio"]
-    spans = stores.groupBy(*key).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    stores = cut_lineage(possible_anchors(requests), "guardados")
+    spans = stores.groupBy("clave").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     longest = spans.agg(F.max((F.col("b") - F.col("a")).cast("interval second").cast("bigint"))).first()[0]
     links = max(int(longest or 0) // ttl, 1)
-    jumps = [cut_lineage(_next_store(stores, ttl))]
+    jumps = [cut_lineage(_next_store(stores, ttl), "saltos")]
     for _ in range(math.ceil(math.log2(links + 1))):
         far = jumps[-1].withColumnRenamed("ts", "medio").withColumnRenamed("sig", "lejos")
         near = jumps[-1].withColumnRenamed("sig", "medio")
-        jumps.append(cut_lineage(near.join(far, [*key, "medio"]).select(*key, "ts", F.col("lejos").alias("sig"))))
-    marked = spans.select(*key, F.col("a").alias("ts"))
+        jumps.append(cut_lineage(
+            near.join(far, ["clave", "medio"]).select("clave", "ts", F.col("lejos").alias("sig")), "saltos"))
+    marked = spans.select("clave", F.col("a").alias("ts"))
     for jump in reversed(jumps):
-        reached = marked.join(jump, [*key, "ts"]).select(*key, F.col("sig").alias("ts"))
-        marked = cut_lineage(marked.unionByName(reached).distinct())
-    return stores.join(marked, [*key, "ts"]).select("clave", "ts", "event_id")
-
+        reached = marked.join(jump, ["clave", "ts"]).select("clave", F.col("sig").alias("ts"))
+        marked = cut_lineage(marked.unionByName(reached).distinct(), "anclas")
+    return stores.join(marked, ["clave", "ts"]).select("clave", "ts", "event_id")
 
-def cache_anchors(requests: DataFrame, ttl: int = fv.CACHE_TTL_SECONDS,
-                  group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(clave, ts, event_id) of the stored results that make hits.
 
-    Episodes of up to `group_rows` rows are walked in place; larger ones, if there are any, go through
-    the distributed way. Both give the same chain.
-    """
-    stores = possible_anchors(requests, ttl)
-    small = _anchors_by_fold(stores.where(F.col("n") <= group_rows), ttl)
-    large = stores.where(F.col("n") > group_rows)
-    if large.isEmpty():
-        return small
-    return small.unionByName(_anchors_by_doubling(cut_lineage(large), ttl))
-
-
-def cache_hits(requests: DataFrame, ttl: int = fv.CACHE_TTL_SECONDS,
-               group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The requests (event_id, ts, clave, n_resultados) with `acierto`: answered from the cache."""
-    anchors = cache_anchors(requests, ttl, group_rows).withColumn("tramo", _frame("ts", ttl))
+def cache_hits(requests: DataFrame, ttl: int = fv.CACHE_TTL_SECONDS) -> DataFrame:
+    """The requests (event_id, ts, clave, n_resultados) with `respuesta_de`, the request whose stored result answers
+    it, null where none does, and `acierto`, whether one does."""
+    anchors = cache_anchors(requests, ttl).withColumn("tramo", _frame("ts", ttl))
     own = anchors.select("clave", "tramo", F.struct("ts", "event_id").alias("propia"))
     before = anchors.select(
-        "clave", (F.col("tramo") + _span(ttl)).alias("tramo"), F.col("ts").alias("previa")
+        "clave", (F.col("tramo") + _span(ttl)).alias("tramo"), F.struct("ts", "event_id").alias("previa")
     )
     lookup = (
         own.unionByName(before, allowMissingColumns=True)
         .groupBy("clave", "tramo").agg(F.max("propia").alias("propia"), F.max("previa").alias("previa"))
     )
-    in_previous = F.col("ts") < F.col("previa") + _span(ttl)
+    in_previous = F.col("ts") < F.col("previa.ts") + _span(ttl)
     in_own = F.struct("ts", "event_id") > F.col("propia")
     return (
         requests.withColumn("tramo", _frame("ts", ttl))
         .join(lookup, ["clave", "tramo"], "left")
-        .withColumn("acierto", F.coalesce(in_previous, F.lit(False)) | F.coalesce(in_own, F.lit(False)))
-        .select(*requests.columns, "acierto")
+        .withColumn("respuesta_de", F.when(in_previous, F.col("previa.event_id"))
+                    .when(in_own, F.col("propia.event_id")))
+        .withColumn("acierto", F.col("respuesta_de").isNotNull())
+        .select(*requests.columns, "respuesta_de", "acierto")
     )
 
 

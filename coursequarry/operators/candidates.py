@@ -14,7 +14,6 @@ from coursequarry import fixed_values as fv
 from coursequarry import schemas
 from coursequarry.functions import text as tx
 from coursequarry.functions.labels import certificate, zero_as
-from coursequarry.operators.sizes import broadcast_if_small
 from coursequarry.sources.landed import first_links
 
 # Source order; earlier sources win when two bring the same address.
@@ -25,6 +24,7 @@ LIST_COLUMNS = {HIDDEN: "ocultas", WEB: "web", KNOWN: "conocidas", FALLBACK: "re
 # --- hidden platforms -----------------------------------------------------------------------------
 
 _ANY = "*"
+_LEVELS = [fv.ANY_LEVEL, fv.ALL_LEVELS, fv.BEGINNER, fv.INTERMEDIATE, fv.ADVANCED]
 
 
 def platform_shortlist(catalogue: DataFrame) -> DataFrame:
@@ -55,8 +55,13 @@ def platform_shortlist(catalogue: DataFrame) -> DataFrame:
 
 
 def hidden_lists(topics: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Topics with `ocultas`: the six best platforms for their language and level."""
-    shortlist = broadcast_if_small(platform_shortlist(catalogue))
+    """Topics with `ocultas`: the six best platforms for their language and level.
+
+    Requests have the languages and levels of the form; the short list is cut to those, so it has one row
+    for each language and level key at most, whatever the catalogue holds, and is broadcast.
+    """
+    shortlist = F.broadcast(platform_shortlist(catalogue.where(F.col("idioma").isin(*set(fv.LANGUAGE_CODES.values())))).where(
+        F.col("clave_nivel").isin(_ANY, *_LEVELS)))
     own = shortlist.select("idioma", "clave_nivel", F.col("lista").alias("propia"))
     for_all = shortlist.where(F.col("clave_nivel") == fv.ALL_LEVELS).select(
         "idioma", F.lit(False).alias("abierta"), F.col("lista").alias("comun")

@@ -33,13 +33,15 @@ def replies_from(results: DataFrame,
 def enrich(results: DataFrame, replies: DataFrame, enabled: bool = True) -> DataFrame:
     """Results with the reply scores of the rows that wait for one.
 
-    `replies` is (query_id, id, respuesta), one reply per row. Only waiting rows with a reply change:
+    `replies` is (query_id, id, respuesta); of several replies for a row (retries) the last in text order
+    counts. Only waiting rows with a reply change:
     they get their analysis, the blended confidence (unless the reply was an error) and lose the
     mark. Waiting rows without a reply go on waiting; an empty reply counts as an empty object.
     """
     if not enabled:
         return results
-    answers = replies.select("query_id", "id", "respuesta", F.lit(True).alias("contestada"))
+    answers = replies.groupBy("query_id", "id").agg(F.max("respuesta").alias("respuesta")).withColumn(
+        "contestada", F.lit(True))
     waiting = F.col("analisis_pendiente") & F.col("metadatos_analisis").isNull()
     joined = results.join(
         answers,

@@ -6,7 +6,7 @@ token of that text. The match is therefore worked out once per distinct token, n
 1. the distinct tokens of all texts and the distinct keywords of all topics meet on a three-letter
    gram (equi-join), and containment is checked on those few pairs;
 2. the surviving (token, keyword) pairs are written down and lead back to the resources over the token
-   (equi-join; pairs known to be few are broadcast, so that texts are not shuffled at all);
+   (equi-join; adaptive execution knows the written table's size and broadcasts it where it is small);
 3. topic weights are summed per (topic, resource) and cut to the best ones before the topic shuffle.
 """
 
@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursequarry import fixed_values as fv
 from coursequarry.functions import text as tx
-from coursequarry.operators.sizes import broadcast_if_small
 from coursequarry.sources.scratch import cut_lineage
 
 _GRAM = 3
-_BROADCAST_PAIRS = 500_000
+_BLOCK = 256
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -50,8 +49,14 @@ def resource_tokens(resources: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(token: Column) -> Column:
+    """The token in overlapping blocks that hold all its pieces, so that a very long one is never one array of pieces."""
+    return F.transform(F.sequence(F.lit(1), F.length(token), F.lit(_BLOCK)),
+                       lambda i: F.substring(token, i, F.lit(_BLOCK + _GRAM - 1)))
+
+
 def _grams(token: Column) -> Column:
-    """All pieces of one to three letters of a token."""
+    """All pieces of one to three letters."""
     places = F.sequence(F.lit(1), F.length(token))
     return F.array_distinct(
         F.flatten(F.transform(places, lambda i: F.transform(
@@ -65,12 +70,14 @@ def token_keywords(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     wanted = keywords.select("palabra").distinct().withColumn(
         "trozo", F.substring("palabra", 1, _GRAM)
     )
+    known = tokens.select("ficha").distinct().withColumn("clave", F.xxhash64("ficha"))
     pieces = (
-        tokens.select("ficha").distinct()
-        .withColumn("trozo", F.explode(_grams(F.col("ficha"))))
+        known.select("clave", F.explode(_blocks(F.col("ficha"))).alias("bloque"))
+        .select("clave", F.explode(_grams(F.col("bloque"))).alias("trozo"))
     )
+    may_match = pieces.join(wanted, "trozo").select("clave", "palabra").distinct()
     return (
-        pieces.join(wanted, "trozo")
+        may_match.join(known, "clave")
         .where(F.col("ficha").contains(F.col("palabra")))
         .select("ficha", "palabra")
     )
@@ -79,12 +86,12 @@ def token_keywords(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 def topic_matches(topics: DataFrame, resources: DataFrame) -> DataFrame:
     """(tema, page_id, confianza, relevancia) for every topic and resource with relevance above zero."""
     keywords = topic_keywords(topics)
-    tokens = resource_tokens(resources)
-    pairs = cut_lineage(token_keywords(tokens, keywords))
+    tokens = cut_lineage(resource_tokens(resources), "fichas")
+    pairs = cut_lineage(token_keywords(tokens, keywords), "parejas")
     in_title = F.max(F.col("en_titulo").cast("int"))
     in_text = F.max((~F.col("en_titulo")).cast("int"))
     found = (
-        tokens.join(broadcast_if_small(pairs, _BROADCAST_PAIRS), "ficha")
+        tokens.join(pairs, "ficha")
         .groupBy("page_id", "palabra")
         .agg((in_title * F.lit(1.0) + in_text * F.lit(0.5)).alias("peso"),
              F.max("confianza").alias("confianza"))

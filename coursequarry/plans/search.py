@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from coursequarry import fixed_values as fv
 from coursequarry.operators import candidates as cand
+from coursequarry.operators.enrich import enrich_and_rerank
 from coursequarry.operators.ranking import dedupe_first, rank
 from coursequarry.sources.catalogue import known_templates
 
@@ -59,3 +60,12 @@ def multilayer_search(topics: DataFrame, now: Column, *, catalogue: DataFrame |
         dedupe_first(found), options.max_results,
         options.max_analysis if options.enable_groq_analysis else 0,
     )
+
+
+def scored_search(topics: DataFrame, now: Column, replies: DataFrame, *, catalogue: DataFrame | None = None,
+                  items: DataFrame | None = None, fallback_pages: DataFrame | None = None,
+                  options: SearchOptions = SearchOptions()) -> DataFrame:
+    """`multilayer_search` with the model replies (query_id, id, respuesta) to its waiting rows, ranked again."""
+    results = multilayer_search(topics, now, catalogue=catalogue, items=items, fallback_pages=fallback_pages,
+                                options=options)
+    return enrich_and_rerank(results, replies, options.enable_groq_analysis)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coursequarry import fixed_values as fv
 from coursequarry import schemas
-from coursequarry.functions.replies import text_to_double
+from coursequarry.functions.replies import finite_number
 from coursequarry.functions.text import resource_id
 
 _ROWS_PER_FILE = 1_000_000
@@ -66,7 +66,7 @@ def imported_results(rows: DataFrame, now: Column) -> DataFrame:
         with_default("nivel"),
         with_default("categoria"),
         F.lit(None).cast(schemas.CERTIFICACION).alias("certificacion"),
-        F.coalesce(text_to_double(cell("confianza")), F.lit(fv.CSV_DEFAULT_CONFIDENCE))
+        F.coalesce(finite_number(cell("confianza")), F.lit(fv.CSV_DEFAULT_CONFIDENCE))
         .alias("confianza"),
         with_default("tipo"),
         F.coalesce(cell("verificado").try_cast("timestamp_ntz"), now)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursequarry import fixed_values as fv
-from coursequarry.functions.text import any_level, language_code, quote_plus
+from coursequarry.functions.text import any_level, is_valid_resource, language_code, quote_plus
 
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -36,17 +36,29 @@ def _request_text(tema: Column, nivel: Column, extra: list[str]) -> Column:
     )
 
 
-def web_requests(topics: DataFrame) -> DataFrame:
-    """Two web requests per topic.
+def first_round_kept(items: DataFrame) -> DataFrame:
+    """(query_id, quedan): how many landed items of the first round count; topics without any are absent."""
+    counts = (F.col("ronda") == 1) & (F.col("pos") < fv.WEB_FIRST_ROUND_ITEMS) & is_valid_resource(
+        F.col("link"), F.col("title"), F.col("snippet"))
+    return items.where(counts).groupBy("query_id").agg(F.count("*").cast("int").alias("quedan"))
 
-    The second round asks for what is missing to the total; how many that is depends on the first
-    reply, so the row carries the total and the fetcher subtracts what was kept.
+
+def web_requests(topics: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The web requests of every topic: a first round, and a second for what is missing to the total.
+
+    `items` is the landed first round; without it nothing has been kept. A topic that has its total gets
+    no second row.
     """
+    if items is None:
+        topics = topics.withColumn("quedan", F.lit(0))
+    else:
+        topics = topics.join(first_round_kept(items), "query_id", "left")
+    missing = F.lit(fv.WEB_TOTAL_ITEMS) - F.coalesce("quedan", F.lit(0))
     rounds = F.explode(
         F.array(
             F.struct(F.lit(1).alias("ronda"), F.lit(fv.WEB_FIRST_ROUND_ITEMS).alias("num"),
                      _request_text(F.col("tema"), F.col("nivel"), fv.REQUEST_SITES).alias("q")),
-            F.struct(F.lit(2).alias("ronda"), F.lit(fv.WEB_TOTAL_ITEMS).alias("num"),
+            F.struct(F.lit(2).alias("ronda"), missing.alias("num"),
                      _request_text(F.col("tema"), F.col("nivel"), fv.REQUEST_EXCLUSIONS).alias("q")),
         )
     )
@@ -54,7 +66,7 @@ def web_requests(topics: DataFrame) -> DataFrame:
         "query_id",
         F.concat(F.lit(fv.REQUEST_LANGUAGE_PREFIX), F.col("idioma")).alias("lr"),
         rounds.alias("r"),
-    ).select("query_id", "r.ronda", "r.q", "r.num", "lr")
+    ).select("query_id", "r.ronda", "r.q", "r.num", "lr").where(F.col("num") > 0)
 
 
 def fallback_requests(topics: DataFrame) -> DataFrame:

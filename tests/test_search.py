@@ -122,10 +122,8 @@ def test_layout_does_not_matter(spark, sf_dir):
     assert run(1) == run(7)
 
 
-def test_same_without_broadcast(spark, sf_dir, monkeypatch):
+def test_same_without_broadcast(spark, sf_dir):
     """The way taken when a side is too large to broadcast gives the same rows."""
-    from coursequarry.operators import topic_match
-
     topics, catalogue = prepare_topics(b.requests(spark, sf_dir)), b.catalogue(spark, sf_dir)
     resources = b.resources(spark, sf_dir)
 
@@ -136,8 +134,6 @@ def test_same_without_broadcast(spark, sf_dir, monkeypatch):
                 sorted((r.query_id, r.puesto, r.page_id) for r in best.collect()))
 
     small = run()
-    for module in (cand, topic_match):
-        monkeypatch.setattr(module, "broadcast_if_small", lambda df, *_: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -211,7 +207,7 @@ def test_enrich_leaves_other_rows_alone(spark, sf_dir):
     assert en.enrich(results, replies, enabled=False).collect() == results.collect()
     out = en.enrich(results, replies)
     assert out.columns == results.columns and out.count() == results.count()
-    assert out.where("NOT analisis_pendiente AND metadatos_analisis IS NULL AND query_id % 2 = 1").isEmpty()
+    assert out.where("NOT analisis_pendiente AND metadatos_analisis IS NULL AND (query_id * 5 + puesto - 1) % 2 = 1").isEmpty()
     assert out.where("metadatos_analisis IS NOT NULL AND (confianza < 0.5 OR confianza > 0.99)").isEmpty()
 
 
@@ -316,3 +312,22 @@ def test_first_end_after_start_wins(spark, ends, expected):
                                  schemas.SESSION_ENDS)
     got = activity.close_sessions(start, rows).collect()[0].ended_at
     assert got == (None if expected is None else datetime(2024, 1, expected))
+
+
+def test_second_round_asks_for_what_is_missing(spark):
+    from coursequarry.sources.requests import web_requests
+
+    topics = prepare_topics(spark.createDataFrame([(1, "a", "es", "Todos"), (2, "b", "es", "Todos")],
+                                                  "query_id long, tema string, idioma_ui string, nivel string"))
+    items = items_of(spark, [(1, 1, 0, "http://a.edu", "curso", None), (1, 1, 1, "http://x.com", "nada", None),
+                             (1, 1, 2, "http://b.com", "curso", None), (1, 2, 0, "http://c.com", "curso", None)])
+    got = {(r.query_id, r.ronda): r.num for r in web_requests(topics, items).collect()}
+    assert got == {(1, 1): 6, (1, 2): 8, (2, 1): 6, (2, 2): 10}
+
+
+def test_several_replies_for_a_row_count_once(spark, sf_dir):
+    from coursequarry.operators.enrich import enrich
+
+    rows, replies = b.ai_input(spark, sf_dir), b.ai_replies(spark, sf_dir)
+    assert replies.groupBy("query_id", "id").count().where("count > 1").count() > 0
+    assert enrich(rows, replies).count() == rows.count()

@@ -197,3 +197,50 @@ def test_report_labels(spark):
     assert evaluate(spark, "a double, s double", rows, lb.confidence_percent(c("a")),
                     lb.score_percent(c("s"))) == [
         (f"{a:.0%}", None if s is None else int(s * 100)) for a, s in rows]
+
+
+def test_replies_that_hold_odd_numbers(spark):
+    from coursequarry.functions import labels as lb, replies as rp
+
+    numbers = ["9" * 100_000, "1_0" * 20_000, "0." + "3" * 100_000, "nan", "Infinity", "-inf", "1e300", "1e999", "7_", "_7",
+               " 0.5 ", "1__0", ".5", "5.", "+1e-3", "1e", "", None]
+    df = spark.createDataFrame([(i, n, None if n is None else f'{{"calidad_educativa": "{n}", "relevancia_usuario": 1}}')
+                                for i, n in enumerate(numbers)], "i int, n string, reply string")
+    number = rp.finite_number(F.col("n"))
+    got = {r.i: r for r in df.select("i", number.alias("x"), lb.score_percent(number).alias("p"),
+                                     lb.confidence_percent(number).alias("c"),
+                                     rp.parse_strict(F.col("reply"), F.lit(0.5)).alias("r"),
+                                     rp.parse_loose(F.col("reply")).alias("l")).collect()}
+
+    def plain(text):
+        try:
+            x = float(text)
+        except (TypeError, ValueError):
+            return None
+        return x if abs(x) < float("inf") else None
+
+    for i, n in enumerate(numbers):
+        assert got[i].x == plain(n), n and n[:20]
+        if n is not None:
+            assert got[i].r.valida == got[i].l.valida == (plain(n) is not None)
+    assert got[6].p is None and got[6].c is None and got[10].p == 50 and got[10].c == "50%"
+
+
+def test_percentages_of_numbers_that_are_not_finite(spark):
+    from coursequarry.functions import labels as lb
+
+    df = spark.sql("select explode(array(double('nan'), double('inf'), double('-inf'), 1e300D)) as x")
+    assert df.select(lb.score_percent(F.col("x")).alias("p"), lb.confidence_percent(F.col("x")).alias("c")).distinct().collect() \
+        == [(None, None)]
+
+
+def test_inputs_use_nearly_all_pages(spark):
+    from bindings import tables as b
+
+    sf_dir = "/root/testdata/sf0.01"
+    pages = b.read(spark, sf_dir, "pages").count()
+    urls = b.web_items(spark, sf_dir).select("link").distinct().count()
+    landed = b.fallback_pages(spark, sf_dir).select(F.md5("html")).distinct().count()
+    requests = b.requests(spark, sf_dir).count()
+    assert urls >= 0.95 * pages
+    assert landed >= 0.6 * min(pages, requests)
