@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursequarry import fixed_values as fv
 
+# Short, so that the clicks of a topic in the news are spread: a task gets one topic's rows of a slot.
+SLOT = "1 minute"
+
 
 def top_counts(df: DataFrame, column: str, n: int = fv.TOP_N) -> DataFrame:
     """The n most frequent values, ties in value order."""
@@ -83,7 +86,7 @@ def close_sessions(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return starts.join(first_end, ["session_id", "started_at"], "left")
 
 
-def clicks_to_searches(search_log: DataFrame, clicks: DataFrame, slot: str = "1 hour") -> DataFrame:
+def clicks_to_searches(search_log: DataFrame, clicks: DataFrame, slot: str = SLOT) -> DataFrame:
     """(click_id, search_id): every click with the latest search of its topic at that moment.
 
     At the same moment a search comes before a click, and searches in id order. Clicks before the
@@ -121,7 +124,7 @@ def clicks_to_searches(search_log: DataFrame, clicks: DataFrame, slot: str = "1
     )
 
 
-def click_attribution(search_log: DataFrame, clicks: DataFrame, slot: str = "1 hour") -> DataFrame:
+def click_attribution(search_log: DataFrame, clicks: DataFrame, slot: str = SLOT) -> DataFrame:
     """The search log with `veces_clickeado`, 0 for searches nobody clicked after."""
     counts = clicks_to_searches(search_log, clicks, slot).groupBy("search_id").agg(
         F.count("*").alias("n")

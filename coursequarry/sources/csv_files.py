@@ -10,6 +10,7 @@ from coursequarry.functions.replies import finite_number
 from coursequarry.functions.text import resource_id
 
 _ROWS_PER_FILE = 1_000_000
+_MOST_COLUMNS = 64
 
 
 def export_columns(results: DataFrame) -> DataFrame:
@@ -38,11 +39,25 @@ def export_report(report: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, whatever columns the files have."""
-    return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-        .option("inferSchema", False).csv(path)
+    """The result columns as text, by the name each file gives them; null where a file lacks one.
+
+    Every file's first record is its header, so files may differ in their columns and in their order. A quoted field
+    may hold line ends, so a file is read by one task.
+    """
+    cells = [f"_c{i}" for i in range(_MOST_COLUMNS)]
+    raw = (
+        spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", False).option("escape", '"')
+        .option("multiLine", True).csv(path)
+        .select(F.array(*cells).alias("celdas"), F.col("_metadata.file_path").alias("fichero"),
+                F.monotonically_increasing_id().alias("linea"))
     )
+    headers = raw.groupBy("fichero").agg(F.min("linea").alias("primera"), F.min_by("celdas", "linea").alias("nombres"))
+    names = F.transform("nombres", lambda n: F.regexp_replace(F.trim(n), "^\ufeff", ""))
+    rows = raw.join(headers.withColumn("nombres", names), "fichero").where(F.col("linea") > F.col("primera"))
+    return rows.select(*[
+        F.try_element_at("celdas", F.nullif(F.array_position("nombres", name), F.lit(0)).cast("int")).alias(name)
+        for name in fv.CSV_COLUMNS
+    ])
 
 
 def imported_results(rows: DataFrame, now: Column) -> DataFrame:

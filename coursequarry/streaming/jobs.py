@@ -14,6 +14,7 @@ from coursequarry.sources.activity_log import DAY
 from coursequarry.streaming.ordered import OrderedReplay, from_us, replay_stream
 
 DELAY = "1 hour"
+ONCE = {"availableNow": True}
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -22,12 +23,12 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     )
 
 
-def start_search_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append search events as they occur, in one directory per day."""
+def start_search_log(events: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Append search events as they occur, in one directory per day; `trigger` as of `DataStreamWriter.trigger`."""
     return (
         events.withColumn(DAY, F.to_date("ts")).writeStream.format("parquet").outputMode("append")
         .partitionBy(DAY).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
+        .trigger(**trigger).start(path)
     )
 
 
@@ -159,7 +160,7 @@ def _score_batch(batch: DataFrame, batch_id: int, *, replies_path: str, replies_
 
 
 def start_scoring(results: DataFrame, replies_path: str, replies_schema: str, path: str,
-                  checkpoint: str) -> StreamingQuery:
+                  checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Score waiting result rows batch by batch against the reply table; rows already scored are left.
 
     `path` is an existing directory.
@@ -167,5 +168,5 @@ def start_scoring(results: DataFrame, replies_path: str, replies_schema: str, pa
     step = partial(_score_batch, replies_path=replies_path, replies_schema=replies_schema, path=path)
     return (
         results.writeStream.foreachBatch(lambda batch, batch_id: step(batch, batch_id))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )

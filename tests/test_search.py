@@ -331,3 +331,55 @@ def test_several_replies_for_a_row_count_once(spark, sf_dir):
     rows, replies = b.ai_input(spark, sf_dir), b.ai_replies(spark, sf_dir)
     assert replies.groupBy("query_id", "id").count().where("count > 1").count() > 0
     assert enrich(rows, replies).count() == rows.count()
+
+
+def test_csv_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('titulo,url,confianza\n"Uno, dos",http://a.com,0.5\n"x\ny",http://b.com,nan\n')
+    (tmp_path / "in" / "b.csv").write_text('\ufeffurl,otra,titulo\nhttp://c.com,1,Tres\n')
+    got = {r.url: (r.titulo, r.confianza) for r in csv_files.import_results(spark, str(tmp_path / "in"), b.now()).collect()}
+    assert got == {"http://a.com": ("Uno, dos", 0.5), "http://b.com": ("x\ny", 0.8), "http://c.com": ("Tres", 0.8)}
+
+
+def test_writers_and_readers(spark, sf_dir, tmp_path):
+    topics = topics_of(spark, [(1, "historia", "es", "Todos"), (2, "arte", "en", "Todos")])
+    results = multilayer_search(topics, b.now(), catalogue=cat.seed_platforms(spark))
+    for _ in range(2):
+        activity_log.append_search_events(results, topics, b.now(), str(tmp_path / "log"))
+    logged = activity_log.read_table(spark, str(tmp_path / "log"), schemas.SEARCH_LOG)
+    assert {(r.search_id, r.tema) for r in logged.collect()} == {(1, "historia"), (2, "arte")} and logged.count() == 4
+
+    feedback = b.feedback(spark, sf_dir)
+    activity_log.append_feedback(feedback, str(tmp_path / "feedback"))
+    assert spark.read.parquet(str(tmp_path / "feedback")).exceptAll(feedback).isEmpty()
+
+    settings = b.settings_log(spark, sf_dir)
+    activity_log.append_setting(settings, str(tmp_path / "settings"))
+    stored = spark.read.parquet(str(tmp_path / "settings"))
+    assert activity.settings_latest(stored).exceptAll(activity.settings_latest(settings)).isEmpty()
+
+    from coursequarry.plans.report import report_rows
+    report = report_rows(results)
+    csv_files.export_report(report, str(tmp_path / "report"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "report"))
+    assert back.columns == report.columns and back.count() == report.count()
+
+
+def test_replies_when_scoring_is_off(spark):
+    from coursequarry.functions import replies as rp
+
+    row = spark.range(1).select(rp.disabled_strict(F.lit(0.7)).alias("s"), rp.disabled_loose().alias("l")).first()
+    assert (row.s.valida, row.s.analisis.calidad_ia, row.s.analisis.advertencias) == (False, 0.7, [fv.DISABLED_WARNING])
+    assert (row.l.valida, row.l.analisis.relevancia_ia) == (False, fv.LOOSE_DEFAULT_SCORE)
+
+
+def test_a_topic_in_the_news_is_spread(spark):
+    """A million clicks on one topic in one hour: no task's share of the window is more than a minute's."""
+    clicks = spark.range(1_000_000).selectExpr(
+        "id as click_id", "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, (id % 3600)) as ts", "'t' as tema")
+    log = spark.range(60).selectExpr(
+        "id as search_id", "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, id) as ts", "'t' as tema")
+    got = activity.click_attribution(log, clicks)
+    assert sum(r.veces_clickeado for r in got.collect()) == 1_000_000
+    per_slot = clicks.groupBy(F.window("ts", activity.SLOT)).count()
+    assert per_slot.agg(F.max("count")).first()[0] < 20_000
