@@ -7,7 +7,8 @@ token of that text. The match is therefore worked out once per distinct token, n
    gram (equi-join), and containment is checked on those few pairs;
 2. the surviving (token, keyword) pairs are written down and lead back to the resources over the token
    (equi-join; adaptive execution knows the written table's size and broadcasts it where it is small);
-3. topic weights are summed per (topic, resource) and cut to the best ones before the topic shuffle.
+3. keywords that very many resources hold are scored once for all topics that have the same ones; only resources with
+   one of a topic's rarer keywords are scored for that topic (`best_matches`).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from coursequarry.sources.scratch import cut_lineage
 
 _GRAM = 3
 _BLOCK = 256
+COMMON = 150
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -83,47 +85,78 @@ def token_keywords(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     )
 
 
-def topic_matches(topics: DataFrame, resources: DataFrame) -> DataFrame:
-    """(tema, page_id, confianza, relevancia) for every topic and resource with relevance above zero."""
-    keywords = topic_keywords(topics)
+def keyword_matches(keywords: DataFrame, resources: DataFrame) -> DataFrame:
+    """(page_id, palabra, peso, confianza) for every keyword and the resources that hold it."""
     tokens = cut_lineage(resource_tokens(resources), "fichas")
     pairs = cut_lineage(token_keywords(tokens, keywords), "parejas")
     in_title = F.max(F.col("en_titulo").cast("int"))
     in_text = F.max((~F.col("en_titulo")).cast("int"))
-    found = (
+    return (
         tokens.join(pairs, "ficha")
         .groupBy("page_id", "palabra")
         .agg((in_title * F.lit(1.0) + in_text * F.lit(0.5)).alias("peso"),
              F.max("confianza").alias("confianza"))
     )
-    return (
-        found.join(keywords, "palabra")
-        .groupBy("tema", "page_id")
-        .agg(F.sum(F.col("peso") * F.col("veces")).alias("relevancia"),
-             F.max("confianza").alias("confianza"))
+
+
+def _summed(matches: DataFrame, *by: str) -> DataFrame:
+    return matches.groupBy(*by).agg(
+        F.sum(F.col("peso") * F.col("veces")).alias("relevancia"), F.max("confianza").alias("confianza"))
+
+
+def topic_matches(topics: DataFrame, resources: DataFrame) -> DataFrame:
+    """(tema, page_id, confianza, relevancia) for every topic and resource with relevance above zero.
+
+    As many rows as there are such pairs; for the best ones alone see `best_matches`.
+    """
+    keywords = topic_keywords(topics)
+    return _summed(keyword_matches(keywords, resources).join(keywords, "palabra"), "tema", "page_id")
+
+
+def _best(scored: DataFrame, by: str, limit: int) -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.col("relevancia").desc(), F.col("confianza").desc(), "page_id")
+    return scored.withColumn("puesto", F.row_number().over(order)).where(F.col("puesto") <= limit)
+
+
+def best_matches(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_TOTAL_ITEMS,
+                 common: int = COMMON) -> DataFrame:
+    """(tema, page_id, relevancia, confianza, puesto): the best `limit` resources of every topic, exactly.
+
+    Keywords of more than `common` resources are scored once for every different list of them that some topic has, and
+    only the best resources by that list are kept. The resources that hold one of a topic's other keywords are
+    scored in full. A resource that is in neither lot is beaten by `limit` others that score at least as much by the
+    common keywords alone.
+    """
+    keywords = topic_keywords(topics)
+    found = cut_lineage(keyword_matches(keywords, resources), "palabras")
+    spread = found.groupBy("palabra").agg((F.count("*") > common).alias("comun"))
+    listed = cut_lineage(keywords.join(spread, "palabra"), "temas")
+    shared = listed.where("comun").groupBy("tema").agg(
+        F.array_sort(F.collect_list(F.struct("palabra", "veces"))).alias("lista"))
+    by_list = (
+        shared.select("lista").distinct()
+        .select("lista", F.inline("lista")).join(found, "palabra")
     )
+    by_common = shared.join(_best(_summed(by_list, "lista", "page_id"), "lista", limit).drop("puesto"), "lista").drop("lista")
+    in_reach = listed.where("not comun").join(found, "palabra").select("tema", "page_id").distinct()
+    in_full = _summed(in_reach.join(listed, "tema").join(found, ["page_id", "palabra"]), "tema", "page_id")
+    either = by_common.unionByName(in_full).groupBy("tema", "page_id").agg(
+        F.max("relevancia").alias("relevancia"), F.max("confianza").alias("confianza"))
+    return _best(either, "tema", limit)
 
 
 def topic_search(topics: DataFrame, resources: DataFrame,
                  limit: int = fv.WEB_TOTAL_ITEMS) -> DataFrame:
     """The best valid resources per topic by relevance, then confidence, then page_id.
 
-    `resources` is (page_id, url, titulo, descripcion). Two intermediate tables are written: the token
-    pairs and the winners. Texts are read once more, only for pages that won somewhere, and are reduced
+    `resources` is (page_id, url, titulo, descripcion). Intermediate tables are written: tokens, token pairs,
+    keyword matches, keywords and winners. Texts are read once more, only for pages that won somewhere, and are reduced
     to their level before they meet winners and requests.
     """
     valid = resources.where(
         tx.is_valid_resource(F.col("url"), F.col("titulo"), F.col("descripcion"))
     ).withColumn("confianza", tx.domain_confidence(F.col("url"), F.lit(False)))
-    best = Window.partitionBy("tema").orderBy(
-        F.col("relevancia").desc(), F.col("confianza").desc(), "page_id"
-    )
-    winners = cut_lineage(
-        topic_matches(topics, valid)
-        .withColumn("puesto", F.row_number().over(best))
-        .where(F.col("puesto") <= limit)
-        .drop("confianza")
-    )
+    winners = cut_lineage(best_matches(topics, valid, limit).drop("confianza"), "ganadores")
     pages = valid.join(winners.select("page_id").distinct(), "page_id", "left_semi").select(
         "page_id", "url", "titulo",
         tx.platform(F.col("url")).alias("plataforma"),

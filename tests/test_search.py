@@ -10,7 +10,7 @@ from coursequarry import fixed_values as fv
 from coursequarry import schemas
 from coursequarry.operators import activity, candidates as cand, enrich as en
 from coursequarry.operators.ranking import dedupe_first, rank
-from coursequarry.operators.topic_match import topic_matches, topic_search
+from coursequarry.operators.topic_match import best_matches, topic_matches, topic_search
 from coursequarry.plans.search import SearchOptions, multilayer_search
 from coursequarry.sources import activity_log, catalogue as cat, csv_files, landed
 from coursequarry.sources.requests import prepare_topics
@@ -187,7 +187,15 @@ def test_topic_matches_equal_brute_force(spark):
     pages = spark.createDataFrame(texts, "page_id bigint, titulo string, descripcion string").withColumn(
         "confianza", F.lit(0.8))
     got = {(r.tema, r.page_id): r.relevancia for r in topic_matches(topics, pages).collect()}
-    assert got == brute_matches(sorted({t for _, t, _, _ in requests}), texts)
+    want = brute_matches(sorted({t for _, t, _, _ in requests}), texts)
+    assert got == want
+    for common in (0, 3, 1000):
+        best = {(r.tema, r.puesto): (r.page_id, r.relevancia) for r in best_matches(topics, pages, 4, common).collect()}
+        expected = {}
+        for tema in {t for t, _ in want}:
+            own = sorted(((-s, p) for (t, p), s in want.items() if t == tema))[:4]
+            expected |= {(tema, k + 1): (p, -s) for k, (s, p) in enumerate(own)}
+        assert best == expected
 
 
 def test_topic_search_answers_every_request(spark):
