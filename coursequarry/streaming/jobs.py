@@ -77,24 +77,27 @@ def credit_clicks(searches: DataFrame, clicks: DataFrame, delay: str = DELAY, sh
 
 
 class _SessionEnd(OrderedReplay):
-    """Memory: start of the session, and whether its end has been given out."""
+    """Memory: start of the open session; a session that has ended leaves none."""
 
-    memory_layout = "inicio bigint, cerrada boolean"
+    memory_layout = "inicio bigint"
     columns = ["session_id", "inicio_us", "fin_us"]
 
     def replay(self, key, memory, rows):
         out = []
         for us, clase, _, _ in rows:
             if clase == 0:
-                memory = memory or (us, False)
-            elif memory is not None and not memory[1]:
-                memory = (memory[0], True)
+                memory = memory or (us,)
+            elif memory is not None:
                 out.append((key[0], memory[0], us))
+                memory = None
         return memory, out
 
 
 def close_sessions(starts: DataFrame, ends: DataFrame, delay: str = DELAY) -> DataFrame:
-    """(session_id, started_at, ended_at) of sessions as they end; the first end wins."""
+    """(session_id, started_at, ended_at) of sessions as they end; the first end wins.
+
+    A further start while the session is open changes nothing; one after its end opens it again.
+    """
     started = starts.select("session_id", F.col("started_at").alias("ts"), F.lit(0).alias("clase"))
     ended = ends.select("session_id", "ts", F.lit(1).alias("clase"))
     rows = started.unionByName(ended).withColumn("id", F.lit(0).cast("bigint")).withColumn(
@@ -118,6 +121,9 @@ class _CacheEntry(OrderedReplay):
     def __init__(self, ttl: int) -> None:
         self.ttl_us = ttl * 1_000_000
 
+    def expires(self, memory):
+        return memory[0] + self.ttl_us
+
     def replay(self, key, memory, rows):
         out = []
         for us, _, number, n in rows:

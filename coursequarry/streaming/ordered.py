@@ -32,6 +32,10 @@ class OrderedReplay(StatefulProcessor):
     def replay(self, key: tuple, memory: tuple | None, rows: list[tuple]):
         raise NotImplementedError
 
+    def expires(self, memory: tuple) -> int | None:
+        """The moment (in microseconds) from which no row can need this memory any more; None: it is always kept."""
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _WAITING)
@@ -67,15 +71,18 @@ class OrderedReplay(StatefulProcessor):
         rest = [r for r in held if r[0] > passed]
         self.alarm.clear()
         self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake_at(rest[0][0])
         memory = tuple(self.memory.get()) if self.memory.exists() else None
         memory, out = self.replay(key, memory, ready)
-        if memory is None:
+        end = None if memory is None else self.expires(memory)
+        if memory is None or end is not None and end <= passed:
             self.memory.clear()
         else:
             self.memory.update(memory)
+            if end is not None:
+                self._wake_at(end)
+        if rest:
+            self.waiting.put(rest)
+            self._wake_at(rest[0][0])
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 

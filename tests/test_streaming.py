@@ -129,3 +129,80 @@ def test_scoring(spark, sf_dir, tmp_path):
     want = en.enrich(results, replies).where("metadatos_analisis IS NOT NULL")
     columns = ("query_id", "id", "confianza", "analisis_pendiente")
     assert rows_of(got, *columns) == rows_of(want, *columns)
+
+
+class _Value:
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return self.rows or []
+
+    def update(self, rows):
+        self.rows = rows
+
+    put = update
+
+    def appendList(self, rows):
+        self.rows = [*self.get(), *rows]
+
+    def clear(self):
+        self.rows = None
+
+
+class _Handle:
+    """State of one key kept in memory."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, layout):
+        return _Value()
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def _run(processor, key, rows, until_ms):
+    import pandas as pd
+
+    handle = _Handle()
+    processor.init(handle)
+    list(processor.handleInputRows(key, iter([pd.DataFrame(rows, columns=["us", "clase", "id", "extra"])]), None))
+    out = []
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    while handle.timers and min(handle.timers) <= until_ms:
+        now = min(handle.timers)
+        handle.timers.discard(now)
+        for part in processor.handleExpiredTimer(key, Now(now), None):
+            out += [tuple(r) for r in part.itertuples(index=False)]
+    return out
+
+
+def test_state_is_gone_after_a_session_and_after_a_lifetime():
+    second = 1_000_000
+    session = jobs._SessionEnd()
+    got = _run(session, ("s",), [(1 * second, 0, 0, 0), (2 * second, 0, 0, 0), (3 * second, 1, 0, 0), (4 * second, 1, 0, 0),
+                                 (5 * second, 0, 0, 0)], 4_000)
+    assert got == [("s", second, 3 * second)] and not session.memory.exists()
+
+    entry = jobs._CacheEntry(10)
+    assert _run(entry, ("k",), [(1 * second, 0, 7, 3), (5 * second, 0, 8, 3)], 6_000) == [(7, False), (8, True)]
+    assert entry.memory.exists()
+    assert _run(entry, ("k",), [(1 * second, 0, 7, 3), (5 * second, 0, 8, 3)], 20_000) == [(7, False), (8, True)]
+    assert not entry.memory.exists() and not entry.handle.timers
