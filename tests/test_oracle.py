@@ -18,7 +18,7 @@ def test_every_query_has_a_statement():
     assert set(QUERIES) <= set(STATEMENTS) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(STATEMENTS))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, sf_dir, con, name):
     diff = differences(entry.queries()[name](spark, sf_dir), con, STATEMENTS[name])
     assert diff is None, diff
