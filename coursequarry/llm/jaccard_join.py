@@ -40,7 +40,7 @@ BLOCK_BYTES = 16_000_000
 FAN = 8
 _SEVERAL = np.uint32(0x80000000)  # in place of an owner: a token's number of owners in its chunk
 _SENT = "key long, chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary"
-_BACK = "chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary, spread binary"
+_BACK = "key long, chunk long, doc_ids array<long>, sizes binary, prints binary, tokens binary, owners binary, spread binary"
 _SETS = "doc_id long, n_shingles long, print binary, tokens binary, first binary"
 _EDGE = "a long, b long"
 
@@ -87,6 +87,10 @@ def _chunk(doc_ids: list, texts: list[np.ndarray], ranges: int, chunk: int) -> I
     many = (count > 1)[np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
     yield (-1 - chunk, chunk, doc_ids, pack(sizes), b"".join(prints), pack(token[many]), pack(row[many].astype(np.uint32)))
     u, owner = token[start], np.where(count > 1, _SEVERAL | count.astype(np.uint32), row[start].astype(np.uint32))
+    # By owner within a range: runs of equal owners take next to no room in the shuffle.
+    order = np.argsort(np.where(count > 1, 0xFFFF, row[start]).astype(np.uint16), kind="stable")
+    order = order[np.argsort(where[start][order].astype(np.uint32), kind="stable")]
+    u, owner = u[order], owner[order]
     at = np.searchsorted(where[start], np.arange(ranges + 1, dtype=np.uint64))
     for r in np.flatnonzero(np.diff(at)).tolist():
         lo, hi = at[r], at[r + 1]
@@ -121,7 +125,7 @@ def _send(docs: DataFrame, ranges: int) -> DataFrame:
 
 def _meet(part: pd.DataFrame) -> pd.DataFrame:
     """One hash range: tokens of several documents go back to every chunk that has them, with their number of documents."""
-    columns = ["chunk", "doc_ids", "sizes", "prints", "tokens", "owners"]
+    columns = ["key", "chunk", "doc_ids", "sizes", "prints", "tokens", "owners"]
     if part["key"].iloc[0] < 0:
         return part[columns].assign(spread=None)
     tokens = np.concatenate([np.frombuffer(t, np.uint32) for t in part["tokens"]])
@@ -133,13 +137,12 @@ def _meet(part: pd.DataFrame) -> pd.DataFrame:
     weight = np.bincount(group, np.where(several, owners & ~_SEVERAL, 1)[order])
     spread = np.zeros(len(tokens), np.uint32)
     spread[order] = np.minimum(weight[group], 2**32 - 1).astype(np.uint32)
-    high = np.uint64(int(part["key"].iloc[0])) << np.uint64(32)
+    key = int(part["key"].iloc[0])
     out, at = [], 0
     for chunk, n in zip(part["chunk"], lengths):
         shared = np.flatnonzero(spread[at:at + n] > 1) + at
         if len(shared):
-            out.append((chunk, None, None, None, pack(tokens[shared].astype(np.uint64) | high), pack(owners[shared]),
-                        pack(spread[shared])))
+            out.append((key, chunk, None, None, None, pack(tokens[shared]), pack(owners[shared]), pack(spread[shared])))
         at += n
     return pd.DataFrame(out, columns=[*columns, "spread"])
 
@@ -153,8 +156,10 @@ def _gather(part: pd.DataFrame) -> pd.DataFrame:
     heads = part["doc_ids"].notna()
     head, replies = part[heads].iloc[0], part[~heads]
     sizes = np.frombuffer(head["sizes"], np.int64)
-    answered, owner, count = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in replies[c])])
-                              for c, kind in (("tokens", np.uint64), ("owners", np.uint32), ("spread", np.uint32)))
+    answered = np.concatenate([np.zeros(0, np.uint64), *(
+        np.frombuffer(t, np.uint32) | np.uint64(k) << np.uint64(32) for t, k in zip(replies["tokens"], replies["key"]))])
+    owner, count = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in replies[c])])
+                    for c in ("owners", "spread"))
     order = np.argsort(answered, kind="stable")
     answered, owner, count = answered[order], owner[order], count[order]
     inside, inside_owner = np.frombuffer(head["tokens"], np.uint64), np.frombuffer(head["owners"], np.uint32)
@@ -414,6 +419,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     labels = labels.select(F.col("a").alias("id"), F.col("b").alias("label"))
     # Every class of a component leads to its smallest one, which has no row of its own.
     labels = cut_lineage(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()), "komponenten")
+    release(spark)
     found = classes.select("print", "id", "copies").join(labels, "id", "left").filter(
         "copies > 1 or label is not null").select("print", "copies", F.coalesce("label", "id").alias("component"))
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print"))
