@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from coursequarry.llm.words import column_bytes, row_blocks
 
 SHORT = 64
-MEMO = 500_000
+MEMO = 250_000
 # Words of printable ASCII and Latin letters that are single code points in normal form and have a lower case of one.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017e]+|[0-9]|[^a-z0-9\u00df-\u017e]+")
@@ -38,7 +38,7 @@ _SPACES = np.arange(256, dtype=np.uint8)
 _SPACES[9:14] = 0x20
 _SMALL = _SPACES.copy()
 _SMALL[65:91] += 32
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 4_000_000
 _NONE = 1 << 60
 
 
@@ -68,9 +68,14 @@ class Words(dict):
         return out
 
 
-def cut_word(word: str) -> list[str] | None:
+def cut_word(word: bytes) -> list[str] | None:
     """The pieces of a plain word, lower-cased; None for words that need the full text rules."""
-    return _CUT.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else None
+    stem = word.rstrip(b".,!")
+    if stem.isalpha():  # ASCII letters, then perhaps one run of signs
+        pieces = [stem.lower().decode()]
+        return pieces if len(stem) == len(word) else [*pieces, word[len(stem):].decode()]
+    text = word.decode("utf-8", "replace")
+    return _CUT.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else None
 
 
 def in_symbols(piece: str) -> str:
@@ -92,13 +97,14 @@ def encode_texts(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]
     split = pc.split_pattern(texts, b" ")
     known = split.flatten().dictionary_encode()
     which = known.indices.to_numpy()
-    ids = [words[w] for w in known.dictionary.to_pylist()]
+    ids = [words[w] for w in known.dictionary.to_numpy(zero_copy_only=False).tolist()]
     size = np.array([len(i) // 4 for i in ids], np.int64)
     every = np.frombuffer(b"".join(ids), "<u4")
     begin = np.cumsum(size) - size
     own = size[which]
     end = np.concatenate([[0], np.cumsum(own)])
-    at = np.repeat(begin[which] - end[:-1], own) + np.arange(end[-1])
+    at = np.arange(end[-1], dtype=np.int32)
+    at += np.repeat((begin[which] - end[:-1]).astype(np.int32), own)
     offsets = split.offsets.to_numpy()
     return every[at], end[offsets - offsets[0]]
 
@@ -142,11 +148,10 @@ class Bpe:
         return b" ".join(map(self.strings.__getitem__, ids.tolist()))
 
     def _encode_word(self, word: bytes) -> bytes:
-        word = word.decode("utf-8", "replace")
         pieces = cut_word(word)
         if pieces is not None:
             return b"".join([self.pieces[p] for p in pieces])
-        out = []
+        word, out = word.decode("utf-8", "replace"), []
         for part in self.special.split(word) if self.special else [word]:
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coursequarry.llm.words import column_bytes
 from coursequarry.sources.scratch import scratch_path
 
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 RANGE_BYTES = 12_000_000
 CHUNKS = "chunk long, doc_ids array<long>, ends array<long>, bytes long, texts binary"
 

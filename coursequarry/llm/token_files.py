@@ -82,10 +82,9 @@ class _Encoder:
         return array("I", [t.id for t in self.model.tokenize(in_symbols(piece))]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        word = word.decode("utf-8", "replace")
         pieces = cut_word(word)
         if pieces is None:
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         return b"".join([self.pieces[p] for p in pieces])
 
 
