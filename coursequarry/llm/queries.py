@@ -163,9 +163,9 @@ _LEVEL_SQL = """
         {level}_sum AS (
             SELECT {names}, sum(good) AS good, sum(n) AS n, any_value({prior}) AS prior FROM named {source} GROUP BY {names}),
         {level}_k AS (
-            SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1000.0 ELSE 1 / least(greatest(
+            SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1 / {low}::DOUBLE - 1 ELSE 1 / least(greatest(
                 (sum(n * (good / n - prior) * (good / n - prior) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)),
-                1e-3), 0.5) - 1 END AS k FROM {level}_sum WHERE n > 1 AND prior > 0 AND prior < 1),
+                {low}), {high}) - 1 END AS k FROM {level}_sum WHERE n > 1 AND prior > 0 AND prior < 1),
         {level}_rate AS (
             SELECT *, a / (a + b) AS rate FROM (
                 SELECT {names}, good + k * prior AS a, n - good + k * (1 - prior) AS b FROM {level}_sum, {level}_k)),
@@ -176,7 +176,8 @@ def _url_sql(text: str) -> str:
     levels, names, prior, source = "", [], "m", ", mean"
     for level in url_filter.LEVELS:
         names.append(level)
-        levels += _LEVEL_SQL.format(level=level, names=", ".join(names), prior=prior, source=source)
+        levels += _LEVEL_SQL.format(level=level, names=", ".join(names), prior=prior, source=source,
+                                    low=url_filter.CORRELATION[0], high=url_filter.CORRELATION[1])
         prior, source = "rate", f"JOIN {level}_rate USING ({', '.join(names)})"
     rules = "\n".join(
         f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{v:6}{h}{p}'"

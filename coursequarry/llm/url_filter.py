@@ -26,6 +26,9 @@ TWO_PART_SUFFIXES = [
 ]
 FLOOR = 0.5
 RANGE = 1.645
+# Limits of the estimated correlation of labels in a group. The lower one holds a prior's strength at 49 labels, so that a
+# level with few groups does not make a host without labels certain.
+CORRELATION = (0.02, 0.5)
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -73,9 +76,9 @@ def _strength(groups: DataFrame) -> float:
         F.sum(n * (F.col("good") / n - p) * (F.col("good") / n - p) / (p * (1 - p))).alias("spread"),
         F.count("*").alias("k"), F.sum("n").alias("n")).first()
     if not row["k"] or row["n"] <= row["k"]:
-        return 1000.0
+        return 1 / CORRELATION[0] - 1
     rho = (row["spread"] - row["k"]) / (row["n"] - row["k"])
-    rho = min(max(rho, 1e-3), 0.5)
+    rho = min(max(rho, CORRELATION[0]), CORRELATION[1])
     return 1 / rho - 1
 
 
