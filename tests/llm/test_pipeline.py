@@ -55,3 +55,14 @@ def test_stages_follow_each_other(spark, sf_dir, tmp_path):
     for r in rows:
         ids = np.frombuffer(r.ids, "<u4")
         assert (len(ids), r.decoded_sha256) == (want[r.doc_id][0], want[r.doc_id][2]) and r.n_tokens == len(ids)
+    assert Counter((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf_dir).collect()) == Counter(
+        (r.doc_id, r.n_tokens) for r in rows)
+
+
+def test_stages_take_empty_tables_and_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, 0), (1, None, None, None, 0),
+                                 (2, "", "en", "", 0)], docs.schema)
+    for rows in (docs.limit(0), odd):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, rows, sf_dir).count() <= 3 * rows.count()
