@@ -210,6 +210,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, s
     source = _source_key(docs["source"])
     chosen = once.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"),
                          F.ceil(F.col("_n") / F.col("_rows")).cast("int").alias("_times"))
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (source == chosen["_key"]) & (
+    # The chosen documents are as many as the corpus has, so the join is one by shuffle at every size.
+    joined = docs.join(chosen.hint("merge"), docs["doc_id"].eqNullSafe(chosen["_id"]) & (source == chosen["_key"]) & (
         word_count(docs["text"]) == chosen["_size"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
