@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from coursequarry.llm.words import column_bytes, row_blocks
 
 SHORT = 64
-MEMO = 250_000
+# Entries at most; new pieces cost more than words of known pieces, so the memo of pieces is the larger one.
+WORD_MEMO, PIECE_MEMO = 120_000, 500_000
 # Words of printable ASCII and Latin letters that are single code points in normal form and have a lower case of one.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017e]+|[0-9]|[^a-z0-9\u00df-\u017e]+")
@@ -55,7 +56,7 @@ _SYMBOLS = _byte_symbols()
 class Words(dict):
     """Word -> something derived from them; forgets all when full, so that it stays bounded."""
 
-    def __init__(self, derive, limit: int = MEMO):
+    def __init__(self, derive, limit: int):
         super().__init__()
         self.derive, self.limit = derive, limit
 
@@ -137,8 +138,8 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[self.vocab[a], self.vocab[b]] = rank
             self.merged.append(self.vocab[a + b])
-        self.pieces = Words(self._encode_piece)
-        self.words = Words(self._encode_word)
+        self.pieces = Words(self._encode_piece, PIECE_MEMO)
+        self.words = Words(self._encode_word, WORD_MEMO)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""

@@ -14,6 +14,7 @@ doc_id follow each other; an empty table gives empty files.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_right
@@ -23,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from coursequarry.llm.bpe import Words, cut_word, encode_texts, in_symbols, read_definition, text_blocks
+from coursequarry.llm.bpe import PIECE_MEMO, WORD_MEMO, Words, cut_word, encode_texts, in_symbols, read_definition, text_blocks
 from coursequarry.llm.tables import range_bounds
-from coursequarry.llm.words import column_bytes
 from coursequarry.sources.scratch import cut_lineage, scratch_path
 
 END_ID = 1
@@ -75,8 +75,8 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.pieces = Words(self._piece)
-        self.words = Words(self._word)
+        self.pieces = Words(self._piece, PIECE_MEMO)
+        self.words = Words(self._word, WORD_MEMO)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(in_symbols(piece))]).tobytes()
@@ -97,23 +97,44 @@ def _encoder(path: str, definition: str) -> _Encoder:
     return _encoders[path]
 
 
+def id_kind(definition: str) -> str:
+    """The numpy type that holds every id of the vocabulary."""
+    spec = json.loads(definition)
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): the ids of every text and the end id, as a table in the shared folder."""
+    """(doc_id, ids, counts) as a table in the shared folder: the ids of every text and the end id, in the type of `id_kind`.
+
+    Each task adds one row without ids, with how often each id occurs in its own texts.
+    """
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
+    kind = id_kind(definition.value)
 
     def run(batches):
-        encoder, end = _encoder(path, definition.value), end_id.to_bytes(4, "little")
+        encoder, end = _encoder(path, definition.value), np.array([end_id], kind).tobytes()
+        counts = np.zeros(end_id + 1, np.int64)
         for batch in batches:
             for i, j, texts in text_blocks(batch):
                 ids, offsets = encode_texts(texts, encoder.words)
+                more = np.bincount(ids, minlength=len(counts))
+                more[:len(counts)] += counts
+                counts = more
+                counts[end_id] += j - i
+                ids = ids.astype(kind)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i),
-                     pa.array([ids[a:b].tobytes() + end for a, b in zip(offsets, offsets[1:])], pa.binary())], ["doc_id", "ids"])
+                     pa.array([ids[a:b].tobytes() + end for a, b in zip(offsets, offsets[1:])], pa.binary()),
+                     pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
     folder = scratch_path(docs.sparkSession, "ids")
+    schema = "doc_id long, ids binary, counts binary"
     docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(
-        run, "doc_id long, ids binary").write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.schema("doc_id long, ids binary").parquet(folder)
+        run, schema).write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(schema).parquet(folder)
 
 
 def id_counts(coded: DataFrame) -> DataFrame:
@@ -122,14 +143,17 @@ def id_counts(coded: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(1, np.int64)
         for batch in batches:
-            data, _ = column_bytes(batch.column("ids"))
-            more = np.bincount(data.view("<u4"), minlength=len(counts))
-            more[:len(counts)] += counts
-            counts = more
+            for row in batch.column("counts"):
+                own = np.frombuffer(row.as_buffer(), np.int64)
+                more = np.zeros(max(len(counts), len(own)), np.int64)
+                more[:len(counts)] = counts
+                more[:len(own)] += own
+                counts = more
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    return coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -142,8 +166,9 @@ def rank_table(counts: DataFrame) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
     """Encode every text and write its ids to `folder` (blocks and ranks)."""
     spark = docs.sparkSession
-    plain = encoded(docs, path, end_id)
-    counts = cut_lineage(id_counts(plain), "haeufigkeit")
+    table, kind = encoded(docs, path, end_id), id_kind(read_definition(path))
+    counts = cut_lineage(id_counts(table), "haeufigkeit")
+    plain = table.filter("counts is null").select("doc_id", "ids")
     ids = rank_table(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     spark.createDataFrame([(int(r), int(i)) for r, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(
@@ -157,7 +182,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
         for batch in batches:
             part, control, data = [], [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                c, d = encode_values(shared.value[np.frombuffer(ids.as_buffer(), "<u4")])
+                c, d = encode_values(shared.value[np.frombuffer(ids.as_buffer(), kind)])
                 part.append(0 if doc_id is None else bisect_right(bounds, doc_id))
                 control.append(c), data.append(d)
             yield pa.RecordBatch.from_arrays(
