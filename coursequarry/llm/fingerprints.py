@@ -2,8 +2,8 @@
 
 A fingerprint is, for each of `PERMUTATIONS` maps x -> a * x + b (mod 2**32, a odd), the smallest value over the
 text's distinct 5-word shingles; numpy applies a map to all shingles of a block of texts at once. The share of equal
-places estimates the Jaccard similarity. `near_classes` joins bands of the signatures in Spark and verifies the
-exact Jaccard similarity of the shingle sets.
+places estimates the Jaccard similarity. `near_classes` joins bands of the signatures in Spark and decides every pair
+of a bucket on the exact Jaccard similarity of the shingle sets, large buckets in blocks.
 
 Defined results: null is the empty text; texts without words share one fingerprint that no other text has, and are
 alike (1.0) to each other; texts of fewer words than a shingle have their whole sequence as the only one. Rows
@@ -18,9 +18,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from coursequarry.llm.tables import connected, range_bounds
+from coursequarry.llm.jaccard_join import overlapping_links
+from coursequarry.llm.tables import connected, join_groups, pack, range_bounds
 from coursequarry.llm.words import column_bytes, row_blocks, shingle_hashes, word_hashes
 from coursequarry.sources.scratch import cut_lineage
 
@@ -157,46 +158,67 @@ def _pairs(held, rows, permutations):
     ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def band_pairs(prints: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Candidate pairs (a, b): in each bucket of a band every document with the smallest and with the one before it.
+def _print_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, number and sorted hashes of the shingles, and their print, of every row."""
 
-    Equal fingerprints are taken once. A bucket of m documents gives less than 2 m pairs.
-    """
-    once = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    def run(batches):
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            prints, sizes, tokens, marks = [], [], [], []
+            for i, j in row_blocks(offsets, 1 << 20):
+                part, ends = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+                prints += [hex_of(s) for s in signatures(part, ends)]
+                h, row = shingle_hashes(*word_hashes(part, ends))
+                for own in np.split(h, np.searchsorted(row, np.arange(1, j - i))):
+                    own = np.unique(own)
+                    sizes.append(len(own)), tokens.append(pack(own))
+                    marks.append(hashlib.blake2b(tokens[-1], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(prints, pa.string()), pa.array(sizes, pa.int64()),
+                 pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
+                ["doc_id", "fingerprint", "n", "tokens", "print"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(
+        run, "doc_id long, fingerprint string, n long, tokens binary, print binary")
+
+
+def band_groups(prints: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(group, id): the members of every bucket of a band that holds several; of buckets with the same members one."""
     width = 8 * band_rows
     bands = F.transform(F.sequence(F.lit(0), F.floor(F.length("fingerprint") / width).cast("int") - 1),
                         lambda k: F.xxhash64(k, F.substring(F.col("fingerprint"), k * width + 1, F.lit(width))))
-    rows = once.select("doc_id", F.explode(bands).alias("band"))
-    order = Window.partitionBy("band").orderBy("doc_id")
-    linked = rows.select("doc_id", F.lag("doc_id").over(order).alias("before"), F.first("doc_id").over(order).alias("least"))
-    return linked.select(F.explode(F.array_distinct(F.array("before", "least"))).alias("a"), F.col("doc_id").alias("b")).filter(
-        "a < b").distinct()
+    rows = cut_lineage(prints.select("id", F.explode(bands).alias("band")), "baender")
+    same = [F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("members"),
+            F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("other_mark")]
+    buckets = rows.groupBy("band").agg(*same).filter("members > 1").groupBy(
+        "least", "most", "members", "mark", "other_mark").agg(F.min("band").alias("band"))
+    kept = cut_lineage(buckets.select(
+        F.col("band").cast("string").cast("binary").alias("key"), "members", F.lit(True).alias("kept")), "eimer")
+    joined = join_groups(rows.withColumn("key", F.col("band").cast("string").cast("binary")), kept, "key", "members", rows.count())
+    return joined.filter("kept").select(F.col("band").alias("group"), "id")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id and class_id of every row: the smallest doc_id reached over verified near copies and equal fingerprints."""
-    prints = cut_lineage(fingerprints(docs), "abdruck")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).dropDuplicates(["doc_id"])
-    pairs = cut_lineage(band_pairs(prints, band_rows), "paare")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            sets = []
-            for name in ("text_a", "text_b"):
-                data, offsets = column_bytes(batch.column(name))
-                h, row = shingle_hashes(*word_hashes(data, offsets))
-                sets.append([np.unique(p) for p in np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))])
-            likeness = []
-            for x, y in zip(*sets):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                likeness.append(common / max(1, len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likeness, pa.float64())],
-                                             ["a", "b", "jaccard"])
-
-    links = both.mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") >= similarity)
-    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    labels = connected(links.select("a", "b"), "klassen").select(F.col("node").alias("least"), "label")
-    classes = same.join(labels, "least", "left").select("fingerprint", F.coalesce("label", "least").alias("class_id"))
-    return prints.join(classes, "fingerprint", "left").select("doc_id", "class_id")
+    """doc_id and class_id of every row: the smallest doc_id reached over near copies that meet in a band.
+
+    Every pair of a bucket is decided on the exact shingle sets unless both are connected already. Equal sets
+    are one node, and so are rows with the same doc_id.
+    """
+    rows = cut_lineage(_print_sets(docs), "abdruck")
+    nodes = cut_lineage(rows.groupBy("print").agg(
+        F.count("*").alias("members"), F.first(F.struct("fingerprint", "n", "tokens")).alias("_f")).select(
+        "print", "members", "_f.*").withColumn("id", F.monotonically_increasing_id()), "knoten")
+    members = band_groups(nodes.filter("n > 0"), band_rows).join(nodes.select("id", "n", "tokens"), "id")
+    links = overlapping_links(cut_lineage(members, "mitglieder"), round(100 * similarity, 9))
+    known = nodes.select("print", "id", "members")
+    placed = cut_lineage(join_groups(rows.select("doc_id", "print"), known, "print", "members", rows.count()), "zeilen")
+    repeated = placed.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min("id").alias("a"), F.collect_set("id").alias("_ids")).filter("size(_ids) > 1").select("a", F.explode("_ids").alias("b"))
+    labels = connected(links.unionByName(repeated), "klassen")
+    named = known.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
+        "id", "members", F.coalesce("label", "id").alias("label"))
+    least = placed.groupBy("id").agg(F.min("doc_id").alias("least"))
+    classes = named.join(least, "id").groupBy("label").agg(F.min("least").alias("class_id"))
+    answer = cut_lineage(named.join(classes, "label").select("id", "members", "class_id").join(
+        nodes.select("id", "print"), "id").select("print", "members", "class_id"), "klassen")
+    return join_groups(rows.select("doc_id", "print"), answer, "print", "members", rows.count()).select("doc_id", "class_id")

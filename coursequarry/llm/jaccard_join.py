@@ -50,9 +50,9 @@ def need(size: int) -> int:
     return -(-PERCENT * size // 100)
 
 
-def linked(common, size_a, size_b):
+def linked(common, size_a, size_b, percent=PERCENT):
     """Whether the Jaccard similarity of sets of these sizes reaches the bound."""
-    return (100 + PERCENT) * common >= PERCENT * (size_a + size_b)
+    return (100 + percent) * common >= percent * (size_a + size_b)
 
 
 # ---- shared shingles
@@ -262,24 +262,26 @@ class Tree:
         return range(i * FAN, min((i + 1) * FAN, len(self.levels[level - 1][0])))
 
 
-def may_link(tree: Tree, left: range, right: range, level: int) -> np.ndarray:
+def may_link(tree: Tree, left: range, right: range, level: int, percent=PERCENT) -> np.ndarray:
     """Which node pairs can hold a link, by sizes and by the largest overlap of the bitmaps."""
     map_a, low_a, high_a, most_a, over_a = (x[left.start:left.stop] for x in tree.levels[level])
     map_b, low_b, high_b, most_b, over_b = (x[right.start:right.stop] for x in tree.levels[level])
     common = np.bitwise_count(map_a[:, None, :] & map_b[None, :, :]).sum(axis=2) + np.minimum(over_a[:, None], over_b[None, :])
     common = np.minimum(common, np.minimum(most_a[:, None], most_b[None, :]))
-    return (linked(common.astype(np.int64), low_a[:, None], low_b[None, :])
-            & (100 * high_a[:, None] >= PERCENT * low_b[None, :]) & (100 * high_b[None, :] >= PERCENT * low_a[:, None]))
+    return (linked(common.astype(np.int64), low_a[:, None], low_b[None, :], percent)
+            & (100 * high_a[:, None] >= percent * low_b[None, :]) & (100 * high_b[None, :] >= percent * low_a[:, None]))
 
 
 class TreeJoin:
     """Links that connect sets of one block, one for each pair of parts joined."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], parts: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], parts: np.ndarray | None = None,
+                 percent=PERCENT):
         order = np.lexsort((sizes, [int(s[0]) if len(s) else 0 for s in sets])) if len(sets) else np.zeros(0, np.int64)
         self.ids, self.sizes, self.sets = ids[order], sizes[order], [sets[i] for i in order]
         self.part = np.arange(len(ids)) if parts is None else np.unique(parts[order], return_inverse=True)[1]
         self.found: list[tuple[int, int]] = []
+        self.percent = percent
 
     def bits(self) -> int:
         middle = max(1, int(np.median([len(s) for s in self.sets])))
@@ -301,7 +303,7 @@ class TreeJoin:
         own = tree.children(level, i)
         for c in own:
             self._self(tree, level - 1, c)
-        may = may_link(tree, own, own, level - 1)
+        may = may_link(tree, own, own, level - 1, self.percent)
         for x in range(len(own)):
             for y in range(x + 1, len(own)):
                 if may[x, y]:
@@ -314,21 +316,21 @@ class TreeJoin:
             self._decide(i, j)
             return
         own, other = tree.children(level, i), tree.children(level, j)
-        for x, y in zip(*np.nonzero(may_link(tree, own, other, level - 1))):
+        for x, y in zip(*np.nonzero(may_link(tree, own, other, level - 1, self.percent))):
             self._pair(tree, level - 1, own[x], other[y])
 
     def _decide(self, x: int, y: int) -> None:
         common = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-        if linked(common, self.sizes[x], self.sizes[y]):
+        if linked(common, self.sizes[x], self.sizes[y], self.percent):
             self.found.append((int(self.ids[x]), int(self.ids[y])))
             self.part[self.part == self.part[y]] = self.part[x]
 
 
-def _join_block(block: pd.DataFrame) -> pd.DataFrame:
+def join_block(block: pd.DataFrame, percent) -> pd.DataFrame:
     block = block.drop_duplicates("id")
     sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
     parts = block["part"].to_numpy() if "part" in block else None
-    join = TreeJoin(block["id"].to_numpy(np.int64), block["n"].to_numpy(np.int64), sets, parts)
+    join = TreeJoin(block["id"].to_numpy(np.int64), block["n"].to_numpy(np.int64), sets, parts, percent)
     join.join_self()
     if parts is not None:
         return pd.DataFrame(np.array(join.found, np.int64).reshape(-1, 2), columns=["a", "b"])
@@ -336,6 +338,10 @@ def _join_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": join.ids, "b": least})[join.ids != least]
 
 
+def _join_block(block: pd.DataFrame) -> pd.DataFrame:
+    return join_block(block, PERCENT)
+
+
 def _sliced(sets: DataFrame) -> tuple[DataFrame, bool]:
     """The sets (group, id, n, tokens) with the slice of their group; whether any group has more than one."""
     groups = cut_lineage(sets.groupBy("group").agg(
@@ -382,7 +388,29 @@ def group_labels(sets: DataFrame) -> DataFrame:
     return whole.unionByName(parts.filter("node <> label").toDF("a", "b"))
 
 
-def _rest_links(members: DataFrame, edges: DataFrame) -> DataFrame:
+def overlapping_links(sets: DataFrame, percent) -> DataFrame:
+    """(a, b): links that connect the sets (group, id, n, tokens) of every group; a set may be in several groups.
+
+    A group of one block is settled in it. Larger ones go on over one set of each part found in the group, then
+    the sets outside a group's largest part meet all its others, so no pair of a group is left out.
+    """
+    def join(block: pd.DataFrame) -> pd.DataFrame:
+        return join_block(block, percent)
+
+    sliced, large = _sliced(sets)
+    sliced = cut_lineage(sliced, "bloecke")
+    edges = cut_lineage(sliced.groupBy("group", "slice").applyInPandas(join, _EDGE), "kanten")
+    if not large:
+        return edges
+    members = sliced.filter("slices > 1").drop("slice", "slices")
+    labelled = _labelled(members, edges)
+    heads = labelled.groupBy("group", "part").agg(F.min("id").alias("id"))
+    again, _ = _sliced(cut_lineage(labelled.drop("part").join(heads.drop("part"), ["group", "id"], "left_semi"), "koepfe"))
+    edges = edges.unionByName(cut_lineage(again.groupBy("group", "slice").applyInPandas(join, _EDGE), "kanten"))
+    return edges.unionByName(_rest_links(members, edges, join))
+
+
+def _rest_links(members: DataFrame, edges: DataFrame, join=_join_block) -> DataFrame:
     """Links between a group's documents outside its largest part and all its others."""
     labelled = _labelled(members, edges)
     counts = cut_lineage(labelled.groupBy("group", "part").count(), "anteile")
@@ -399,7 +427,7 @@ def _rest_links(members: DataFrame, edges: DataFrame) -> DataFrame:
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     columns = ["group", "i", "j", "id", "n", "tokens", "part"]
     both = every.select(*columns).unionByName(few.select(*columns))  # documents of one part are not compared
-    return cut_lineage(both.groupBy("group", "i", "j").applyInPandas(_join_block, _EDGE), "kanten")
+    return cut_lineage(both.groupBy("group", "i", "j").applyInPandas(join, _EDGE), "kanten")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

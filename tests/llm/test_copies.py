@@ -201,6 +201,45 @@ def test_near_classes(spark):
     assert len({c for (c,) in got.values()}) < len(docs) / 2
 
 
+def boilerplate(seed=11, pairs=60):
+    """Texts that share a passage (Jaccard 0.69), each with one near copy (0.8) far from it in doc_id order."""
+    rng = random.Random(seed)
+    shared, out = words(rng, 140), []
+    for k in range(pairs):
+        own = words(rng, 30).split()
+        near = own[:12] + words(rng, 18).split()
+        out += [(k, f"{shared} {' '.join(own)}"), (1000 + (37 * k) % pairs, f"{shared} {' '.join(near)}")]
+    return out
+
+
+def near_components(docs, similarity=0.75):
+    sets = {i: brute.shingle_set(t, False) for i, t in docs}
+    ids = list(sets)
+    return brute.components(docs, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and len(
+        sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("block", [4000, 20])
+def test_near_classes_of_texts_with_shared_passages(spark, monkeypatch, block):
+    """Buckets full of texts that are no partners lose no pair, in one block or in several."""
+    monkeypatch.setattr(jj, "BLOCK_DOCUMENTS", block)
+    docs = boilerplate()
+    want = near_components(docs)
+    assert len(set(want.values())) == len(docs) / 2
+    assert {i: c for i, (c,) in by_id(fp.near_classes(frame(spark, docs)), "class_id").items()} == want
+
+
+def test_near_classes_of_odd_rows(spark, no_docs):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(7, " ".join(base)), (3, " ".join(base[1:])), (3, "other words"), (9, "other words"), (None, "other words"),
+            (None, "alone"), (5, None), (4, " ")]
+    got = Counter((r.doc_id, r.class_id) for r in fp.near_classes(frame(spark, rows)).collect())
+    assert got == Counter([(7, 3), (3, 3), (3, 3), (9, 3), (None, 3), (None, None), (5, 4), (4, 4)])
+    docs = near_groups(5, 2)
+    assert {i: c for i, (c,) in by_id(fp.near_classes(frame(spark, docs), 0.6), "class_id").items()} == near_components(docs, 0.6)
+    assert fp.near_classes(no_docs).count() == 0
+
+
 def test_queries(spark, sf_dir, sf_docs):
     assert by_id(QUERIES["op7_minhash"](spark, sf_dir), "n_chars", "edited_sha256") == brute.edited(sf_docs)
     assert by_id(QUERIES["op4_jaccard_join"](spark, sf_dir), "n_shingles", "component_id") == brute.jaccard(sf_docs)
