@@ -29,6 +29,7 @@ MOST_COPIES = 3
 BLOCK_WORDS = 512
 SHARDS = 16
 SOURCE_GROUPS = 1024
+PIECE_WORDS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -186,31 +187,36 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_wo
         F.xxhash64("row", "first", "copy", F.lit(seed + 1)).alias("place"))
 
 
-def shuffled(blocks: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The block rows of each output shard together and in their shuffled order."""
-    return blocks.repartitionByRange(shards, "shard", "place").sortWithinPartitions("shard", "place")
+def shuffled(blocks: DataFrame, shards: int = SHARDS, pieces: int = 1) -> DataFrame:
+    """The block rows of each output shard together and in their shuffled order, in `pieces` partitions a shard."""
+    piece = F.least(F.floor((F.col("place") / 2.0**64 + 0.5) * pieces), F.lit(pieces - 1))
+    return blocks.withColumn("_part", (F.col("shard") * pieces + piece).cast("int")).repartitionById(
+        shards * pieces, "_part").sortWithinPartitions("shard", "place").drop("_part")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken words of every document."""
+    """doc_id, size, source, source_size, target, taken words and taken words by shard of every document."""
     rows, targets, blocks = mix_plan(docs, **options)
-    taken = blocks.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("blocks"))
+    by_shard = F.array(*[F.sum(F.when(F.col("shard") == s, F.col("words")).otherwise(0))
+                         for s in range(options.get("shards", SHARDS))])
+    taken = blocks.groupBy("row").agg(F.sum("words").alias("taken"), by_shard.alias("shard_words"))
     groups = targets.select(F.encode("key", "UTF-8").alias("group"), "source_rows", "source_size", "target")
     placed = join_groups(rows.withColumn("group", F.encode("key", "UTF-8")), groups, "group", "source_rows", rows.count())
     return placed.join(taken, "row", "left").select(
         "row", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(
+            "shard_words", F.array_repeat(F.lit(0).cast("long"), options.get("shards", SHARDS))).alias("shard_words"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 7) -> DataFrame:
-    """The rows of the mix: whole documents of `docs`, as often as the mix takes them, with all their columns."""
-    rows, _, blocks = mix_plan(docs, weights, most, None, SHARDS, seed)
-    once = cut_lineage(rows.join(blocks.select("row", "copy"), "row").groupBy("doc_id", "key", "size").agg(
-        F.count("*").alias("_n"), F.countDistinct("row").alias("_rows")).filter("_n > 0"), "mal")
-    source = _source_key(docs["source"])
-    chosen = once.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"),
-                         F.ceil(F.col("_n") / F.col("_rows")).cast("int").alias("_times"))
-    # The chosen documents are as many as the corpus has, so the join is one by shuffle at every size.
-    joined = docs.join(chosen.hint("merge"), docs["doc_id"].eqNullSafe(chosen["_id"]) & (source == chosen["_key"]) & (
-        word_count(docs["text"]) == chosen["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The rows of the mix: whole documents of `docs`, as often as the mix takes them, with all their columns.
+
+    They come shard by shard, and in each shard in its shuffled order.
+    """
+    held = docs.withColumn("_document", F.struct(*[docs[c] for c in docs.columns]))
+    rows, targets, blocks = mix_plan(held, weights, most, None, SHARDS, seed, "_document")
+    words = targets.agg(F.sum("target")).first()[0] or 0
+    # The taken documents are as many as the corpus has, so the join is one by shuffle at every size.
+    mixed = rows.select("row", "_document").join(blocks.select("row", "shard", "place").hint("merge"), "row")
+    return shuffled(mixed, SHARDS, max(1, -(-int(words) // (SHARDS * PIECE_WORDS)))).select(
+        *[F.col("_document")[c].alias(c) for c in docs.columns])

@@ -65,7 +65,7 @@ def op7_minhash(spark, sf_dir):
 
 def op8_mixing(spark, sf_dir):
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 
 def op9_url_filter(spark, sf_dir):

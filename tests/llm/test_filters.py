@@ -1,8 +1,10 @@
 """Quality classifier, mixing, URL filter and sharding."""
 
+import glob
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,23 @@ def test_mix_of_nothing_and_repeated_rows(spark, no_docs):
     assert [(r["target"], r["taken"]) for r in empty] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mixing_query_deals_words_to_shards(spark, sf_dir):
+    rows = QUERIES["op8_mixing"](spark, sf_dir).collect()
+    assert all(sum(r.shard_words) == r.taken and len(r.shard_words) == mx.SHARDS for r in rows)
+    blocks = mx.mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))[2].groupBy("shard").agg(F.sum("words").alias("w"))
+    want = {r.shard: r.w for r in blocks.collect()}
+    assert dict(enumerate(np.array([r.shard_words for r in rows]).sum(axis=0).tolist())) == want and len(want) == mx.SHARDS
+
+
+def test_mix_stage_writes_shards_in_their_order(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").dropDuplicates(["doc_id"]).localCheckpoint()
+    corpus_pipeline.mix_sources(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mix")
+    got = [r.doc_id for f in sorted(glob.glob(f"{tmp_path}/mix/part-*")) for r in spark.read.parquet(f).collect()]
+    rows, _, blocks = mx.mix_plan(docs, block_words=None)
+    want = [r.doc_id for r in blocks.join(rows.select("row", "doc_id"), "row").orderBy("shard", "place").collect()]
+    assert got == want and len(got) > 50
+
+
 def test_mixed_documents(edge_docs, edges, no_docs):
     mixed = mx.mixed_documents(edge_docs)
     assert mixed.columns == edge_docs.columns
