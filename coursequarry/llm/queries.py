@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursequarry.llm import (bpe, exact_dedup as copies, fingerprints, jaccard_join, mixing, quality, sharding,
-                              substrings, token_files, url_filter)
+from coursequarry.llm import (bpe, exact_dedup as copies, fingerprints, jaccard_join, merkle, mixing, quality,
+                              sharding, substrings, token_files, url_filter)
 from coursequarry.sources.scratch import scratch_path
 
 # The rules of the url filter.
@@ -80,9 +80,13 @@ def op10_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_substring_dedup, op3_quality, op4_jaccard_join, op5_exact_dedup, op6_bpe, op7_minhash, op8_mixing,
-    op9_url_filter, op10_sharding)}
+    op9_url_filter, op10_sharding, op13_merkle)}
 
 # SQL that DuckDB runs over the same tables. The other operators have no SQL form.
 ORACLE_SQL = {

@@ -125,3 +125,53 @@ def targets(sizes: dict, weights=(1, 2, 3), most=3):
         fixed |= {s: most * sizes[s] for s in over}
         if len(fixed) == len(names):
             return fixed
+
+
+def merkle(rows, fan=3):
+    """{row index: (leaf, subroot, root, proof_sha256, folded_root)} of rows (doc_id, source, lang, n_chars, text)."""
+    def enc(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def h(parts):
+        return sha("".join(parts))
+
+    def tamper(r):
+        hit = r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
+        return r[4].replace("\n", "") if hit else r[4]
+
+    def tree(hashes):
+        out = [hashes]
+        while len(out[-1]) > 1:
+            now = out[-1]
+            out.append([h(now[k:k + fan]) for k in range(0, len(now), fan)])
+        return out
+
+    def climb(levels, k, folded):
+        siblings = ""
+        for now in levels[:-1]:
+            first = k - k % fan
+            run = now[first:first + fan]
+            siblings += "".join(x for j, x in enumerate(run) if first + j != k)
+            folded = h([folded if first + j == k else x for j, x in enumerate(run)])
+            k //= fan
+        return siblings, folded
+
+    leaf = {i: h([enc(v) for v in r]) for i, r in enumerate(rows)}
+    bad = {i: h([enc(v) for v in (*r[:4], tamper(r))]) for i, r in enumerate(rows)}
+    by_source = defaultdict(list)
+    for i, r in enumerate(rows):
+        by_source[r[1]].append(i)
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees, subroot = {}, {}
+    for s in names:
+        by_source[s].sort(key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, leaf[i]))
+        trees[s] = tree([leaf[i] for i in by_source[s]])
+        subroot[s] = trees[s][-1][0]
+    top = tree([subroot[s] for s in names]) if names else [[None]]
+    out = {}
+    for t, s in enumerate(names):
+        for k, i in enumerate(by_source[s]):
+            low, folded = climb(trees[s], k, bad[i])
+            high, folded = climb(top, t, folded)
+            out[i] = (leaf[i], subroot[s], top[-1][0], sha(low + high), folded)
+    return out
