@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursequarry.llm import (bpe, exact_dedup as copies, fingerprints, jaccard_join, merkle, mixing, quality,
+from coursequarry.llm import (bpe, exact_dedup as copies, fingerprints, jaccard_join, merkle, mixing, pii, quality,
                               sharding, substrings, token_files, url_filter)
 from coursequarry.sources.scratch import scratch_path
 
@@ -80,13 +80,25 @@ def op10_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pii_digests(docs):
+    """The contract's columns from the spans the operator finds."""
+    s = F.col("spans")
+    return pii.find_spans(docs).select(
+        "doc_id", *[pii.counted(s, kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.joined(s, base_only=True), 256).alias("base_sha256"), pii.joined(s).alias("spans"))
+
+
+def op12_pii(spark, sf_dir):
+    return pii_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark, sf_dir):
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_substring_dedup, op3_quality, op4_jaccard_join, op5_exact_dedup, op6_bpe, op7_minhash, op8_mixing,
-    op9_url_filter, op10_sharding, op13_merkle)}
+    op9_url_filter, op10_sharding, op12_pii, op13_merkle)}
 
 # SQL that DuckDB runs over the same tables. The other operators have no SQL form.
 ORACLE_SQL = {

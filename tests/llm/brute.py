@@ -175,3 +175,25 @@ def merkle(rows, fan=3):
             high, folded = climb(top, t, folded)
             out[i] = (leaf[i], subroot[s], top[-1][0], sha(low + high), folded)
     return out
+
+
+def pii_base(text):
+    """Base spans of the contract with Python's `re`, unguarded: (kind, start, end) by start, then kind."""
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    out = []
+    for order, (kind, pattern) in enumerate(kinds):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                total = sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c))
+                            for k, c in enumerate(reversed(digits)))
+                if not 12 <= len(digits) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), order, kind, m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(out)]
