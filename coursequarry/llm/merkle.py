@@ -160,44 +160,53 @@ def manifest(docs: DataFrame, tamper=tampered_text, name: str = "merkle") -> Dat
             F.when(d("level") < top, d("level") + 1).alias("up_level"),
             F.when(d("level") < top, F.expr(f"pos div {FAN}")).alias("up_pos"),
             (d("pos") % FAN).cast("int").alias("slot")))
-    nodes = cut_lineage(linked, f"{name}-nodes")
-
-    start = leaves.select("tree", "pos", "doc_id", d("h").alias("leaf"), "fh")
+    # The climb joins its rows with the node table once per level: hashes travel as 32 bytes, and the table is
+    # kept partitioned on its key so that only the climbing rows move at each step.
+    nodes = cut_lineage(linked.select(
+        "tree", "level", "pos", F.unhex("h").alias("h"), F.transform("children", F.unhex).alias("children"),
+        "up_tree", "up_level", "up_pos", "slot"), f"{name}-nodes")
+    start = leaves.select("tree", "pos", "doc_id", d("h").alias("leaf"), F.unhex("fh").alias("fh"))
     return _climb(spark, start, nodes, name)
 
 
 def _climb(spark, start: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """The recursive ascent of every leaf; its rows are written, so that the result does not repeat it."""
     tag = name.replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.repartition(parts, "tree", "level", "pos").persist()
     start.createOrReplaceTempView(f"_mk_{tag}_start")
-    nodes.createOrReplaceTempView(f"_mk_{tag}_nodes")
+    keyed.createOrReplaceTempView(f"_mk_{tag}_nodes")
+    hexed = "lower(hex({}))"
     climb = spark.sql(f"""
         WITH RECURSIVE climb(tree, pos, step, node_tree, h, fh, up_tree, up_level, up_pos, slot, siblings) AS (
-            SELECT s.tree, s.pos, 0, s.tree, n.h, s.fh, n.up_tree, n.up_level, n.up_pos, n.slot, CAST('' AS STRING)
+            SELECT s.tree, s.pos, 0, s.tree, n.h, s.fh, n.up_tree, n.up_level, n.up_pos, n.slot, X''
             FROM _mk_{tag}_start s JOIN _mk_{tag}_nodes n ON n.tree = s.tree AND n.level = 0 AND n.pos = s.pos
             UNION ALL
             SELECT c.tree, c.pos, c.step + 1, p.tree, p.h,
-                   sha2(array_join(transform(p.children, (x, i) -> IF(i = c.slot, c.fh, x)), ''), 256),
+                   unhex(sha2(array_join(transform(p.children, (x, i) -> {hexed.format("IF(i = c.slot, c.fh, x)")}), ''),
+                              256)),
                    p.up_tree, p.up_level, p.up_pos, p.slot,
-                   array_join(filter(p.children, (x, i) -> i <> c.slot), '')
+                   aggregate(filter(p.children, (x, i) -> i <> c.slot), X'', (acc, x) -> concat(acc, x))
             FROM climb c JOIN _mk_{tag}_nodes p
               ON p.tree = c.up_tree AND p.level = c.up_level AND p.pos = c.up_pos)
-        SELECT * FROM climb""")
+        SELECT tree, pos, step, siblings,
+               IF(up_tree IS NULL, h, NULL) AS root, IF(up_tree IS NULL, fh, NULL) AS folded_root,
+               IF(node_tree >= 0 AND coalesce(up_tree, -1) < 0, h, NULL) AS subroot
+        FROM climb""")
     previous = spark.conf.get(_LIMIT)
     spark.conf.set(_LIMIT, "-1")  # every leaf climbs every level: the rows grow with the table by design
     try:
         steps = cut_lineage(climb, f"{name}-climb")
     finally:
         spark.conf.set(_LIMIT, previous)
+        keyed.unpersist()
     d = F.col
     path = steps.groupBy("tree", "pos").agg(
-        F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("_mk_path"),
-        F.max_by(F.struct("h", "fh"), "step").alias("_mk_end"),
-        F.max_by(F.when(d("node_tree") >= 0, d("h")), F.when(d("node_tree") >= 0, d("step"))).alias("subroot"))
-    path = path.select("tree", "pos", "subroot",
-                       F.sha2(F.array_join(F.transform("_mk_path", lambda s: s["siblings"]), ""), 256).alias(
-                           "proof_sha256"),
-                       d("_mk_end.h").alias("root"), d("_mk_end.fh").alias("folded_root"))
+        F.sort_array(F.collect_list(F.struct("step", F.lower(F.hex("siblings")).alias("s")))).alias("_mk_path"),
+        F.max(F.lower(F.hex("root"))).alias("root"), F.max(F.lower(F.hex("folded_root"))).alias("folded_root"),
+        F.max(F.lower(F.hex("subroot"))).alias("subroot"))
+    path = path.select("tree", "pos", "subroot", "root", "folded_root",
+                       F.sha2(F.array_join(F.transform("_mk_path", lambda s: s["s"]), ""), 256).alias("proof_sha256"))
     return start.join(path, ["tree", "pos"]).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
         (d("folded_root") == d("root")).alias("verified"))
