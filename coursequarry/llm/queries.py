@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursequarry.llm import (bpe, exact_dedup as copies, fingerprints, jaccard_join, merkle, mixing, pii, quality,
+from coursequarry.llm import (alignment, bpe, exact_dedup as copies, fingerprints, jaccard_join, merkle, mixing, pii, quality,
                               sharding, substrings, token_files, url_filter)
-from coursequarry.sources.scratch import scratch_path
+from coursequarry.sources.scratch import cut_lineage, scratch_path
 
 # The rules of the url filter.
 URL_RULES = [
@@ -80,6 +80,21 @@ def op10_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def alignment_digests(docs, name="alignment"):
+    """The contract's columns from the operator's groups and links, over all rows of `docs`."""
+    found = alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = cut_lineage(found.select(
+        F.monotonically_increasing_id().alias("_al_row"), "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared",
+        F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+        "pair_keys", "pair_counts"), name)
+    return alignment.scored_links(rows, name).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+def op11_alignment(spark, sf_dir):
+    return alignment_digests(_table(spark, sf_dir, "documents"))
+
+
 def pii_digests(docs):
     """The contract's columns from the spans the operator finds."""
     s = F.col("spans")
@@ -98,7 +113,7 @@ def op13_merkle(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_substring_dedup, op3_quality, op4_jaccard_join, op5_exact_dedup, op6_bpe, op7_minhash, op8_mixing,
-    op9_url_filter, op10_sharding, op12_pii, op13_merkle)}
+    op9_url_filter, op10_sharding, op11_alignment, op12_pii, op13_merkle)}
 
 # SQL that DuckDB runs over the same tables. The other operators have no SQL form.
 ORACLE_SQL = {

@@ -197,3 +197,60 @@ def pii_base(text):
                 continue
             out.append((m.start(), order, kind, m.end()))
     return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def alignment(docs, path_a, path_b):
+    """{row index: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)} with plain Python loops."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(path_a)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    keep = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    rest = [c for c in range(256) if c not in keep]
+    back = {chr(c): c for c in keep} | {chr(256 + k): c for k, c in enumerate(rest)}
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+
+    per_row, pairs = [], Counter()
+    for _, t in docs:
+        target = (" " + (t or "")).encode()
+        ta = a.encode(" " + (t or ""), add_special_tokens=False).ids if t else []
+        tb = b.encode(t) if t else []
+        bytes_a = [bytes(back[c] for c in a.id_to_token(i)) for i in ta]
+        bytes_b = [piece(i) for i in tb]
+        if not t or b"".join(bytes_a) != target or b"".join(bytes_b) != target:
+            per_row.append(None)
+            continue
+        ends_a, ends_b, x, y = {}, {}, 0, 0
+        for i, tok in zip(ta, bytes_a):
+            x += len(tok)
+            ends_a[x] = i
+        for i, tok in zip(tb, bytes_b):
+            y += len(tok)
+            ends_b[y] = i
+        links = [(ends_a[e], ends_b[e]) for e in sorted(set(ends_a) & set(ends_b))]
+        groups, ga, gb, cur_a, cur_b = [], [], [], 0, 0
+        cuts = sorted(set(ends_a) & set(ends_b))
+        pos_a, pos_b = sorted(ends_a), sorted(ends_b)
+        for c in cuts:
+            ga = [ends_a[e] for e in pos_a if cur_a < e <= c]
+            gb = [ends_b[e] for e in pos_b if cur_b < e <= c]
+            groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
+            cur_a = cur_b = c
+        pairs.update(links)
+        per_row.append((len(ta), len(tb), len(cuts), links, ";".join(groups)))
+    best = defaultdict(int)
+    for (x, y), n in pairs.items():
+        best[y] = max(best[y], n)
+    out = {}
+    for k, row in enumerate(per_row):
+        if row is None:
+            out[k] = (0, 0, 0, 0, 0, 0, "")
+            continue
+        na, nb, ng, links, groups = row
+        out[k] = (na, nb, ng, len(links), sum(pairs[l] == best[l[1]] for l in links), sum(pairs[l] for l in links),
+                  sha(groups))
+    return out
