@@ -8,7 +8,11 @@ token of that text. The match is therefore worked out once per distinct token, n
 2. the surviving (token, keyword) pairs are written down and lead back to the resources over the token
    (equi-join; adaptive execution knows the written table's size and broadcasts it where it is small);
 3. keywords that very many resources hold are scored once for all topics that have the same ones; only resources with
-   one of a topic's rarer keywords are scored for that topic (`best_matches`).
+   one of a topic's rarer keywords are scored for that topic (`best_matches`);
+4. or, exactly and without a notion of common keywords, by a block-max index (`block_max_best`): posting lists cut
+   into blocks of page ids, each with the largest weight a keyword has in it; a topic's bound for a block is the sum
+   of those weights times the keyword's count. The best blocks are scored first; only blocks whose bound still
+   reaches the score of the `limit`-th page found are scored after them.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from coursequarry.sources.scratch import cut_lineage
 _GRAM = 3
 _BLOCK = 256
 COMMON = 150
+BLOCK_PAGES = 64
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -145,6 +150,42 @@ def best_matches(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_TO
     return _best(either, "tema", limit)
 
 
+def _scored_blocks(chosen: DataFrame, keywords: DataFrame, found: DataFrame) -> DataFrame:
+    """(tema, page_id, relevancia, confianza) of every page in the chosen (tema, bloque) blocks, exactly."""
+    return _summed(chosen.join(keywords, "tema").join(found, ["palabra", "bloque"]), "tema", "page_id")
+
+
+def block_max_best(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_TOTAL_ITEMS,
+                   block: int = BLOCK_PAGES) -> DataFrame:
+    """(tema, page_id, relevancia, confianza, puesto): the best `limit` resources of every topic, exactly.
+
+    Postings (keyword, page) are cut into blocks of `block` page ids; the index holds one row per keyword and block
+    with the largest weight there. A topic's bound for a block is the sum over its keywords of that weight times the
+    keyword's count, so no page of the block can score more. First the `limit` blocks of highest bound per topic are
+    scored in full (a block with a bound above zero holds a page that scores above zero, so these give `limit` pages
+    where there are as many); the `limit`-th score among them is a floor for the true one. Then only blocks whose
+    bound reaches that floor are scored. Every page left out is in a block whose bound is below the floor, so it
+    scores less than `limit` others: the result equals scoring all pairs. The top blocks per topic are taken with a
+    window that Spark limits map-side, so a topic of many requests or blocks does not make one large task.
+    """
+    keywords = topic_keywords(topics)
+    found = cut_lineage(keyword_matches(keywords, resources).withColumn(
+        "bloque", F.floor(F.col("page_id") / block)), "palabras")
+    index = found.groupBy("palabra", "bloque").agg(F.max("peso").alias("tope"))
+    bounds = cut_lineage(keywords.join(index, "palabra").groupBy("tema", "bloque").agg(
+        F.sum(F.col("tope") * F.col("veces")).alias("cota")), "cotas")
+    order = Window.partitionBy("tema").orderBy(F.col("cota").desc(), "bloque")
+    first = bounds.withColumn("orden", F.row_number().over(order)).where(F.col("orden") <= limit).select("tema", "bloque")
+    first = cut_lineage(first, "primeros")
+    scored = cut_lineage(_scored_blocks(first, keywords, found), "puntuados")
+    tenth = _best(scored, "tema", limit).groupBy("tema").agg(
+        F.when(F.count("*") >= limit, F.min("relevancia")).alias("suelo"))
+    rest = bounds.join(first, ["tema", "bloque"], "left_anti").join(tenth, "tema", "left").where(
+        F.col("suelo").isNull() | (F.col("cota") >= F.col("suelo"))).select("tema", "bloque")
+    more = _scored_blocks(rest, keywords, found)
+    return _best(scored.unionByName(more), "tema", limit)
+
+
 def topic_search(topics: DataFrame, resources: DataFrame,
                  limit: int = fv.WEB_TOTAL_ITEMS) -> DataFrame:
     """The best valid resources per topic by relevance, then confidence, then page_id.
@@ -156,7 +197,7 @@ def topic_search(topics: DataFrame, resources: DataFrame,
     valid = resources.where(
         tx.is_valid_resource(F.col("url"), F.col("titulo"), F.col("descripcion"))
     ).withColumn("confianza", tx.domain_confidence(F.col("url"), F.lit(False)))
-    winners = cut_lineage(best_matches(topics, valid, limit).drop("confianza"), "ganadores")
+    winners = cut_lineage(block_max_best(topics, valid, limit).drop("confianza"), "ganadores")
     pages = valid.join(winners.select("page_id").distinct(), "page_id", "left_semi").select(
         "page_id", "url", "titulo",
         tx.platform(F.col("url")).alias("plataforma"),

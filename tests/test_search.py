@@ -10,7 +10,7 @@ from coursequarry import fixed_values as fv
 from coursequarry import schemas
 from coursequarry.operators import activity, candidates as cand, enrich as en
 from coursequarry.operators.ranking import dedupe_first
-from coursequarry.operators.topic_match import best_matches, topic_matches, topic_search
+from coursequarry.operators.topic_match import best_matches, block_max_best, topic_matches, topic_search
 from coursequarry.plans.search import SearchOptions, multilayer_search
 from coursequarry.sources import activity_log, catalogue as cat, csv_files, landed
 from coursequarry.sources.requests import prepare_topics
@@ -196,6 +196,14 @@ def test_topic_matches_equal_brute_force(spark):
             own = sorted(((-s, p) for (t, p), s in want.items() if t == tema))[:4]
             expected |= {(tema, k + 1): (p, -s) for k, (s, p) in enumerate(own)}
         assert best == expected
+    for block, limit in ((1, 4), (2, 1), (7, 4), (64, 10), (1000, 3)):
+        best = {(r.tema, r.puesto): (r.page_id, r.relevancia)
+                for r in block_max_best(topics, pages, limit, block).collect()}
+        expected = {}
+        for tema in {t for t, _ in want}:
+            own = sorted(((-s, p) for (t, p), s in want.items() if t == tema))[:limit]
+            expected |= {(tema, k + 1): (p, -s) for k, (s, p) in enumerate(own)}
+        assert best == expected, (block, limit)
 
 
 def test_topic_search_answers_every_request(spark):
