@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from coursequarry import fixed_values as fv
 from coursequarry.operators.activity import top_topics
@@ -73,6 +75,69 @@ def credit_clicks(searches: DataFrame, clicks: DataFrame, delay: str = DELAY, sh
     return replay_stream(rows, ["tema", "parte"], _ClickCredit(), "click_id bigint, search_id bigint", delay)
 
 
+class _ClickCounts(OrderedReplay):
+    """Memory: the topic's last search on this share and the clicks it has had here so far."""
+
+    memory_layout = "search_id bigint, clicks bigint"
+    columns = ["search_id", "clicks"]
+
+    def replay(self, key, memory, rows):
+        out = []
+        for _, clase, number, _ in rows:
+            if clase == 0:
+                if memory is not None:
+                    out.append(memory)
+                memory = (number, 0)
+            elif memory is not None:
+                memory = (memory[0], memory[1] + 1)
+        return memory, out
+
+
+class _ShareSum(StatefulProcessor):
+    """Per search: the clicks its shares have reported; emitted and forgotten once all shares have."""
+
+    def __init__(self, shares: int) -> None:
+        self.shares = shares
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sum = handle.getValueState("suma", "clicks bigint, parts int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        clicks, parts = tuple(self.sum.get()) if self.sum.exists() else (0, 0)
+        for pdf in rows:
+            clicks, parts = clicks + int(pdf["clicks"].sum()), parts + len(pdf)
+        if parts < self.shares:
+            self.sum.update((clicks, parts))
+            return
+        self.sum.clear()
+        yield pd.DataFrame({"search_id": [key[0]], "veces_clickeado": [clicks]})
+
+    def close(self) -> None:
+        pass
+
+
+def count_clicks(searches: DataFrame, clicks: DataFrame, delay: str = DELAY, shares: int = 8) -> DataFrame:
+    """(search_id, veces_clickeado): the clicks credited to a search, once its count is final.
+
+    Two stateful operators in a row, both in append mode. The first replays each (topic, share) in event order
+    and, when a later search of the topic passes the watermark, emits the closed search's clicks on that share
+    (0 included). The closing search reaches every share, so each search gets exactly `shares` such rows; the
+    second operator, keyed by search, adds them up, emits the sum with the last one and forgets the search. The
+    last search of a topic stays open (its clicks keep counting in state) until a later search closes it.
+    """
+    every_share = F.explode(F.array(*[F.lit(i) for i in range(shares)]))
+    searched = searches.select(
+        "tema", every_share.alias("parte"), "ts", F.lit(0).alias("clase"), F.col("search_id").alias("id"))
+    clicked = clicks.select(
+        "tema", F.pmod(F.hash("click_id"), F.lit(shares)).alias("parte"), "ts", F.lit(1).alias("clase"),
+        F.col("click_id").alias("id"))
+    rows = searched.unionByName(clicked).withColumn("extra", F.lit(0).cast("bigint"))
+    closed = replay_stream(rows, ["tema", "parte"], _ClickCounts(), "search_id bigint, clicks bigint", delay)
+    return closed.groupBy("search_id").transformWithStateInPandas(
+        statefulProcessor=_ShareSum(shares), outputStructType="search_id bigint, veces_clickeado bigint",
+        outputMode="Append", timeMode="None")
+
+
 # --- sessions ---------------------------------------------------------------------------------------------
 
 

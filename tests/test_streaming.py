@@ -4,7 +4,7 @@ import os
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from bindings import tables as b
 from coursequarry import schemas
@@ -206,3 +206,20 @@ def test_state_is_gone_after_a_session_and_after_a_lifetime():
     assert entry.memory.exists()
     assert _run(entry, ("k",), [(1 * second, 0, 7, 3), (5 * second, 0, 8, 3)], 20_000) == [(7, False), (8, True)]
     assert not entry.memory.exists() and not entry.handle.timers
+
+
+def test_click_counts_chained(spark, sf_dir, tmp_path):
+    log, clicks = b.search_log(spark, sf_dir), b.clicks(spark, sf_dir)
+    searches = log.select("search_id", "tema", "ts")
+    s = feed(searches, str(tmp_path / "s"), 3, True, (-1, "end", FAR))
+    c = feed(clicks.select("click_id", "tema", "ts"), str(tmp_path / "c"), 3, True, (-1, "end", FAR))
+    stream = jobs.count_clicks(
+        jobs.read_stream(spark, s, "search_id bigint, tema string, ts timestamp_ntz", 1),
+        jobs.read_stream(spark, c, "click_id bigint, tema string, ts timestamp_ntz", 1), delay="40 days", shares=3)
+    got = run_to_table(stream, tmp_path, "click_counts").where("search_id >= 0")
+    # A search's count is final once a later search of its topic has come: those are all but the last per topic.
+    later = F.lead("search_id").over(Window.partitionBy("tema").orderBy("ts", "search_id"))
+    closed = searches.withColumn("siguiente", later).where("siguiente IS NOT NULL").select("search_id")
+    want = activity.click_attribution(log, clicks).join(closed, "search_id")
+    assert rows_of(got, "search_id", "veces_clickeado") == rows_of(want, "search_id", "veces_clickeado")
+    assert got.count() > 0 and got.where("veces_clickeado > 0").count() > 0
