@@ -13,7 +13,7 @@ from coursequarry import fixed_values as fv
 from coursequarry.operators.activity import top_topics
 from coursequarry.operators.enrich import enrich, needs_analysis
 from coursequarry.sources.activity_log import DAY
-from coursequarry.streaming.ordered import OrderedReplay, from_us, replay_stream
+from coursequarry.streaming.ordered import OrderedReplay, _to_us, from_us, replay_stream
 
 DELAY = "1 hour"
 ONCE = {"availableNow": True}
@@ -174,6 +174,28 @@ def close_sessions(starts: DataFrame, ends: DataFrame, delay: str = DELAY) -> Da
                          from_us(F.col("fin_us")).alias("ended_at"))
 
 
+def close_sessions_joined(starts: DataFrame, ends: DataFrame, delay: str = DELAY,
+                          longest: str = "1 day") -> DataFrame:
+    """(session_id, started_at, ended_at) of every start with its first end, as a stream-stream join.
+
+    Both streams are watermarked; a start meets the ends of its session from its own moment up to `longest`
+    after it (a time-range condition, so Spark can drop a start from state once the watermark is past that range,
+    and an end once no start can still reach it). The joined rows go on to a second stateful operator that keeps
+    the earliest end per start and emits it, in append mode, when the watermark has passed the start's whole
+    range. No Python worker takes part. A session that lasts longer than `longest` counts as not ended here; the
+    batch operator has no such bound.
+    """
+    started = starts.select("session_id", F.timestamp_micros(_to_us(F.col("started_at"))).alias("inicio")) \
+        .withWatermark("inicio", delay)
+    ended = ends.select(F.col("session_id").alias("sesion"), F.timestamp_micros(_to_us(F.col("ts"))).alias("fin")) \
+        .withWatermark("fin", delay)
+    joined = started.join(ended, F.expr(
+        f"session_id = sesion AND fin >= inicio AND fin <= inicio + INTERVAL {longest}"))
+    first = joined.groupBy("session_id", "inicio").agg(F.min("fin").alias("fin"))
+    return first.select("session_id", from_us(_to_us(F.col("inicio"))).alias("started_at"),
+                        from_us(_to_us(F.col("fin"))).alias("ended_at"))
+
+
 # --- cache --------------------------------------------------------------------------------------------------
 
 

@@ -223,3 +223,17 @@ def test_click_counts_chained(spark, sf_dir, tmp_path):
     want = activity.click_attribution(log, clicks).join(closed, "search_id")
     assert rows_of(got, "search_id", "veces_clickeado") == rows_of(want, "search_id", "veces_clickeado")
     assert got.count() > 0 and got.where("veces_clickeado > 0").count() > 0
+
+
+def test_session_ends_by_stream_join(spark, sf_dir, tmp_path):
+    starts, ends = b.session_starts(spark, sf_dir), b.session_ends(spark, sf_dir)
+    s = feed(starts, str(tmp_path / "s"), 3, True, ("end", FAR))
+    e = feed(ends, str(tmp_path / "e"), 3, True, ("end", FAR))
+    stream = jobs.close_sessions_joined(
+        jobs.read_stream(spark, s, "session_id string, started_at timestamp_ntz", 1),
+        jobs.read_stream(spark, e, schemas.SESSION_ENDS, 1), delay="40 days", longest="40 days")
+    got = run_to_table(stream, tmp_path, "ended_joined").where("session_id <> 'end'")
+    want = activity.close_sessions(starts, ends).where("ended_at IS NOT NULL")
+    columns = ("session_id", "started_at", "ended_at")
+    assert rows_of(got, *columns) == rows_of(want, *columns)
+    assert got.count() > 0
