@@ -26,7 +26,7 @@ from coursequarry.sources.scratch import cut_lineage
 _GRAM = 3
 _BLOCK = 256
 COMMON = 150
-BLOCK_PAGES = 64
+BLOCK_PAGES = 4
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
