@@ -23,6 +23,8 @@ are handled in numpy in time linear in their bytes; extra columns of the caller
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from coursequarry.sources.scratch import cut_lineage
 
 BROADCAST_PAIRS = 2_000_000
+BLOCK_BYTES = 1 << 20  # texts are encoded together up to this many bytes (a longer text alone)
 _PAIR_SHIFT = 16  # B ids are below 2**16 in the vocabularies in use
 _LOADED: dict = {}
 
@@ -61,6 +64,9 @@ def load(path_a: str, path_b: str):
     """Both tokenizers and the bytes of every id, once per Python worker."""
     key = (path_a, path_b)
     if key not in _LOADED:
+        # Spark runs one task per core; the tokenizers' own thread pools would only contend with the other tasks.
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
         a = Tokenizer.from_file(path_a)
@@ -75,6 +81,7 @@ def load(path_a: str, path_b: str):
             piece = b.id_to_piece(i)
             table_b.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
         _LOADED[key] = (a, b, _flat(table_a), _flat(table_b))
+        _LOADED["digits"] = _flat([str(i).encode() for i in range(max(len(table_a), len(table_b)))])
     return _LOADED[key]
 
 
@@ -109,33 +116,141 @@ def align_one(ids_a: np.ndarray, ids_b: np.ndarray, target: np.ndarray, table_a,
     group_a = np.searchsorted(cuts, end_a)
     group_b = np.searchsorted(cuts, end_b)
     shared = int((np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts))).sum())
-    split_a = np.split(ids_a, np.searchsorted(end_a, cuts[:-1], side="right"))
-    split_b = np.split(ids_b, np.searchsorted(end_b, cuts[:-1], side="right"))
-    groups = ";".join(",".join(map(str, x.tolist())) + "|" + ",".join(map(str, y.tolist()))
-                      for x, y in zip(split_a, split_b))
+    groups = _group_text(ids_a, ids_b, group_a, group_b)
     keys, counts = np.unique((la.astype(np.int64) << _PAIR_SHIFT) | lb.astype(np.int64), return_counts=True)
     return {"n_a": len(ids_a), "n_b": len(ids_b), "n_groups": len(cuts), "n_links": int(linked.sum()),
             "n_shared": shared, "groups": groups, "pair_keys": keys.tolist(), "pair_counts": counts.tolist()}
 
 
+def _group_text(ids_a, ids_b, group_a, group_b) -> str:
+    """`a1,a2|b1;a3|b2,b3`: per group its A ids, `|`, its B ids; groups joined by `;`. Built as bytes in numpy:
+    every id's decimal digits gathered from a table, then the separators put between them."""
+    side = np.concatenate([np.zeros(len(ids_a), np.int8), np.ones(len(ids_b), np.int8)])
+    group = np.concatenate([group_a, group_b])
+    ids = np.concatenate([ids_a, ids_b])
+    order = np.lexsort((np.arange(len(ids)), side, group))
+    ids, side, group = ids[order], side[order], group[order]
+    last = np.ones(len(ids), bool)
+    last[:-1] = (side[1:] != side[:-1]) | (group[1:] != group[:-1])
+    sep = np.full(len(ids), ord(","), np.uint8)
+    sep[last & (side == 0)] = ord("|")
+    sep[last & (side == 1)] = ord(";")
+    digits = _LOADED["digits"]
+    width = digits[2][ids] + 1
+    out = np.empty(int(width.sum()), np.uint8)
+    at = np.cumsum(width) - 1
+    keep = np.ones(len(out), bool)
+    keep[at] = False
+    out[keep] = _gather(ids, digits)
+    out[at] = sep
+    return out[:-1].tobytes().decode()
+
+
+def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) -> list[dict | None]:
+    """`align_one` for many texts at once: their bytes, tokens and products laid end to end.
+
+    A text's end is an end of both tokenizations, so groups and links never cross texts, and one pass of numpy over
+    the block does the work of a pass per text. Texts whose token bytes differ from space + text give None.
+    """
+    n = len(texts)
+    count_a = np.array([len(x) for x in ids_a], np.int64)
+    count_b = np.array([len(x) for x in ids_b], np.int64)
+    all_a = np.concatenate(ids_a).astype(np.int64) if n else np.zeros(0, np.int64)
+    all_b = np.concatenate(ids_b).astype(np.int64) if n else np.zeros(0, np.int64)
+    doc_a, doc_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
+    targets = [(" " + t).encode() if t else b"" for t in texts]
+    size = np.array([len(t) for t in targets], np.int64)
+    ok = (size > 0) & (np.bincount(doc_a, table_a[2][all_a], n) == size) & (
+        np.bincount(doc_b, table_b[2][all_b], n) == size)
+    keep_a, keep_b = ok[doc_a], ok[doc_b]
+    all_a, all_b, doc_a, doc_b = all_a[keep_a], all_b[keep_b], doc_a[keep_a], doc_b[keep_b]
+    target = np.frombuffer(b"".join(t for t, good in zip(targets, ok) if good), np.uint8)
+    byte_doc = np.repeat(np.arange(n), np.where(ok, size, 0))
+    wrong = (_gather(all_a, table_a) != target) | (_gather(all_b, table_b) != target)
+    ok[np.unique(byte_doc[wrong])] = False
+    len_a, len_b = table_a[2][all_a], table_b[2][all_b]
+    end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
+    # Gustavson's product over the block, as in `align_one`.
+    rows = np.repeat(np.arange(len(all_a), dtype=np.int32), len_a)
+    cols = np.repeat(np.arange(len(all_b), dtype=np.int32), len_b)
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (cols[1:] != cols[:-1])
+    pr, pc = rows[new], cols[new]
+    linked = end_a[pr] == end_b[pc]
+    link_doc = doc_a[pr[linked]]
+    key = (link_doc << 32) | (all_a[pr[linked]] << _PAIR_SHIFT) | all_b[pc[linked]]
+    keys, counts = np.unique(key, return_counts=True)
+    key_cut = np.searchsorted(keys >> 32, np.arange(n + 1))
+    cuts = end_a[np.isin(end_a, end_b, assume_unique=True)]
+    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+    cut_doc = doc_a[np.searchsorted(end_a, cuts)]
+    in_group = np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts))
+    n_groups = np.bincount(cut_doc, minlength=n)
+    n_links = np.bincount(link_doc, minlength=n)
+    shared = np.bincount(cut_doc, in_group, n).astype(np.int64)
+    # The group text of the block; a text's part ends before the `;` after its last group.
+    side = np.concatenate([np.zeros(len(all_a), np.int8), np.ones(len(all_b), np.int8)])
+    group = np.concatenate([group_a, group_b])
+    ids = np.concatenate([all_a, all_b])
+    owner = np.concatenate([doc_a, doc_b])
+    order = np.lexsort((np.arange(len(ids)), side, group))
+    ids, side, group, owner = ids[order], side[order], group[order], owner[order]
+    last = np.ones(len(ids), bool)
+    last[:-1] = (side[1:] != side[:-1]) | (group[1:] != group[:-1])
+    sep = np.full(len(ids), ord(","), np.uint8)
+    sep[last & (side == 0)] = ord("|")
+    sep[last & (side == 1)] = ord(";")
+    digits = _LOADED["digits"]
+    width = digits[2][ids] + 1
+    text = np.empty(int(width.sum()), np.uint8)
+    at = np.cumsum(width) - 1
+    hole = np.ones(len(text), bool)
+    hole[at] = False
+    text[hole] = _gather(ids, digits)
+    text[at] = sep
+    first = np.searchsorted(owner, np.arange(n + 1))
+    begin = np.concatenate([[0], at + 1])
+    out = []
+    for d in range(n):
+        if not ok[d]:
+            out.append(None)
+            continue
+        k0, k1 = key_cut[d], key_cut[d + 1]
+        out.append({"n_a": int(count_a[d]), "n_b": int(count_b[d]), "n_groups": int(n_groups[d]),
+                    "n_links": int(n_links[d]), "n_shared": int(shared[d]),
+                    "groups": text[begin[first[d]]:begin[first[d + 1]] - 1].tobytes().decode(),
+                    "pair_keys": (keys[k0:k1] & 0xFFFFFFFF).tolist(), "pair_counts": counts[k0:k1].tolist()})
+    return out
+
+
 def _batches(path_a: str, path_b: str):
     empty = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_shared": 0, "groups": "", "pair_keys": [],
              "pair_counts": []}
 
+    def blocks(texts):
+        start, size = 0, 0
+        for k, t in enumerate(texts):
+            if size and size + len(t) > BLOCK_BYTES:
+                yield start, k
+                start, size = k, 0
+            size += len(t)
+        if start < len(texts):
+            yield start, len(texts)
+
     def run(frames):
         a, b, table_a, table_b = load(path_a, path_b)
         for pdf in frames:
             texts = [t if isinstance(t, str) else "" for t in pdf["_al_text"]]
-            enc_a = a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-            enc_b = b.encode(texts)
-            out = []
-            for t, ea, eb in zip(texts, enc_a, enc_b):
-                target = np.frombuffer((" " + t).encode(), np.uint8) if t else np.zeros(0, np.uint8)
-                got = align_one(np.array(ea.ids, np.int64), np.array(eb, np.int64), target, table_a, table_b)
-                out.append(got or empty)
-            frame = pd.DataFrame(out, columns=list(empty))
-            frame.insert(0, "_al_doc", pdf["_al_doc"].values)
-            yield frame
+            docs = pdf["_al_doc"].values
+            for i, j in blocks(texts):
+                part = texts[i:j]
+                ids_a = [np.array(e.ids, np.int64) for e in a.encode_batch_fast(
+                    [" " + t for t in part], add_special_tokens=False)]
+                ids_b = [np.array(e, np.int64) for e in b.encode(part, num_threads=1)]
+                out = [got or empty for got in align_block(ids_a, ids_b, part, table_a, table_b)]
+                frame = pd.DataFrame(out, columns=list(empty))
+                frame.insert(0, "_al_doc", docs[i:j])
+                yield frame
     return run
 
 

@@ -46,3 +46,16 @@ def test_repeats_empty_and_clashes(spark, no_docs):
         "*", "1 as _al_row", "2 as _al_doc", "3 as groups", "4 as pair_keys", "5 as n_best")
     got = sorted((r.doc_id or -1, r.n_links, r.count_sum) for r in alignment_digests(df).collect())
     assert got[0] == (-1, 0, 0) and got[1] == (1, got[1][1], 2 * got[1][1]) and got[2] == got[1]
+
+
+def test_block_equals_one_by_one(edges, sf_docs):
+    import numpy as np
+    a, b, ta, tb = alignment.load(A, B)
+    texts = [t or "" for _, t in edges] + [t or "" for _, t in sf_docs[:200]] + ["", "x", " two  spaces ", "ΣΑΣ"]
+    ids_a = [np.array(a.encode(" " + t, add_special_tokens=False).ids if t else [], np.int64) for t in texts]
+    ids_b = [np.array(b.encode(t) if t else [], np.int64) for t in texts]
+    got = alignment.align_block(ids_a, ids_b, texts, ta, tb)
+    for t, x, y, g in zip(texts, ids_a, ids_b, got):
+        one = alignment.align_one(x, y, np.frombuffer((" " + t).encode(), np.uint8) if t else np.zeros(0, np.uint8), ta, tb)
+        assert g == one, t[:40]
+    assert alignment.align_block([], [], [], ta, tb) == []
