@@ -3,8 +3,8 @@
 A keyword holds no white space, so where it occurs in a text it lies inside one white-space separated
 token of that text. The match is therefore worked out once per distinct token, not once per text:
 
-1. the distinct tokens of all texts and the distinct keywords of all topics meet on a three-letter
-   gram (equi-join), and containment is checked on those few pairs;
+1. the distinct tokens of all texts and the distinct keywords of all topics meet on the longest listed
+   beginning of the keyword (`PIECES`: up to twelve letters; equi-join), and containment is checked on those few pairs;
 2. the surviving (token, keyword) pairs are written down and lead back to the resources over the token
    (equi-join; adaptive execution knows the written table's size and broadcasts it where it is small);
 3. keywords that very many resources hold are scored once for all topics that have the same ones; only resources with
@@ -23,7 +23,10 @@ from coursequarry import fixed_values as fv
 from coursequarry.functions import text as tx
 from coursequarry.sources.scratch import cut_lineage
 
-_GRAM = 3
+# A keyword is looked up by its first 1, 2, 3, 5, 8 or 12 letters, the most it has. Words are made of few syllables, so
+# that beginnings of three letters alone are shared by hundreds of keywords.
+PIECES = [1, 2, 3, 5, 8, 12]
+BROADCAST_KEYWORDS = 300_000
 _BLOCK = 256
 COMMON = 150
 BLOCK_PAGES = 4
@@ -59,32 +62,42 @@ def resource_tokens(resources: DataFrame) -> DataFrame:
 def _blocks(token: Column) -> Column:
     """The token in overlapping blocks that hold all its pieces, so that a very long one is never one array of pieces."""
     return F.transform(F.sequence(F.lit(1), F.length(token), F.lit(_BLOCK)),
-                       lambda i: F.substring(token, i, F.lit(_BLOCK + _GRAM - 1)))
+                       lambda i: F.substring(token, i, F.lit(_BLOCK + PIECES[-1] - 1)))
 
 
-def _grams(token: Column) -> Column:
-    """All pieces of one to three letters."""
-    places = F.sequence(F.lit(1), F.length(token))
-    return F.array_distinct(
-        F.flatten(F.transform(places, lambda i: F.transform(
-            F.array(*[F.lit(n) for n in range(1, _GRAM + 1)]),
-            lambda n: F.substring(token, i, n))))
+def _pieces(token: Column) -> Column:
+    """All pieces of the listed lengths."""
+    def of(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(token) - (size - 1), F.lit(1)))
+        # a token shorter than `size` gives itself, which is one of its shorter pieces or looks up nothing
+        return F.transform(places, lambda i: F.substring(token, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(*[of(size) for size in PIECES]))
+
+
+def _beginning(keyword: Column) -> Column:
+    size = F.lit(PIECES[0])
+    for more in PIECES[1:]:
+        size = F.when(F.length(keyword) >= more, more).otherwise(size)
+    return F.substring(keyword, F.lit(1), size)
+
+
+def may_contain(known: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(clave, palabra): the tokens (ficha, clave) with every keyword whose looked-up beginning they contain."""
+    wanted = cut_lineage(keywords.select("palabra").distinct().withColumn("trozo", _beginning(F.col("palabra"))), "claves")
+    few = wanted.count() <= BROADCAST_KEYWORDS
+    pieces = (
+        known.select("clave", F.explode(_blocks(F.col("ficha"))).alias("bloque"))
+        .select("clave", F.explode(_pieces(F.col("bloque"))).alias("trozo"))
     )
+    return pieces.join(F.broadcast(wanted) if few else wanted, "trozo").select("clave", "palabra").distinct()
 
 
 def token_keywords(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """(ficha, palabra): every distinct token with every keyword it contains."""
-    wanted = keywords.select("palabra").distinct().withColumn(
-        "trozo", F.substring("palabra", 1, _GRAM)
-    )
     known = tokens.select("ficha").distinct().withColumn("clave", F.xxhash64("ficha"))
-    pieces = (
-        known.select("clave", F.explode(_blocks(F.col("ficha"))).alias("bloque"))
-        .select("clave", F.explode(_grams(F.col("bloque"))).alias("trozo"))
-    )
-    may_match = pieces.join(wanted, "trozo").select("clave", "palabra").distinct()
     return (
-        may_match.join(known, "clave")
+        may_contain(known, keywords).join(known, "clave")
         .where(F.col("ficha").contains(F.col("palabra")))
         .select("ficha", "palabra")
     )

@@ -399,3 +399,20 @@ def test_a_topic_in_the_news_is_spread(spark):
     assert sum(r.veces_clickeado for r in got.collect()) == 1_000_000
     per_slot = clicks.groupBy(F.window("ts", activity.SLOT)).count()
     assert per_slot.agg(F.max("count")).first()[0] < 20_000
+
+
+def test_keywords_of_few_syllables_meet_few_tokens(spark):
+    """Words that share their first three letters with hundreds of others are compared with hardly more than they match."""
+    from coursequarry.operators import topic_match as tm
+
+    rnd = random.Random(5)
+    parts = ["the", "ing", "tion", "ble", "ción", "eux", "re", "th", "ñas", "ung", "en", "a"]
+    word = lambda most: "".join(rnd.choices(parts, k=rnd.randint(1, most)))
+    tokens = {word(5) for _ in range(1500)} | {"x" * 250 + "theingtionble" + "y" * 300, "𝔘the", "t"}
+    keywords = {word(4) for _ in range(800)} | {"t", "theingtionblex", "theingtionble", "x" * 30, "𝔘the"}
+    known = spark.createDataFrame([(t,) for t in tokens], "ficha string").withColumn("clave", F.xxhash64("ficha"))
+    wanted = spark.createDataFrame([(k,) for k in keywords], "palabra string")
+    want = {(t, k) for t in tokens for k in keywords if k in t}
+    got = [(r.ficha, r.palabra) for r in tm.token_keywords(known.select("ficha"), wanted).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert tm.may_contain(known, wanted).count() < 2 * len(want)
