@@ -202,7 +202,7 @@ def platform_names(spark, d):
 
 def relevance(spark, d):
     topics = _topics(spark, d).select("query_id", "tema")
-    return b.web_items(spark, d).join(topics, "query_id").select(
+    return b.web_items(spark, d, topics).select(
         "query_id", "ronda", "pos",
         tx.relevance(F.col("title"), F.col("snippet"), F.col("tema")).alias("relevancia"),
     )

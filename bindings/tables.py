@@ -128,10 +128,11 @@ def _page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").agg((F.max("page_id") + 1).alias("n")).scalar()
 
 
-def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def web_items(spark: SparkSession, sf_dir: str, topics: DataFrame | None = None) -> DataFrame:
     """Landed items: twenty places over two rounds per topic, with repeats in and across rounds.
 
-    One topic in six gets no reply at all.
+    One topic in six gets no reply at all. Columns of `topics` (query_id and others) are joined to the places before
+    these meet the pages, so that no page text is shuffled once for every place that shows it.
     """
     pages = resources(spark, sf_dir)
     n_pages = _page_count(spark, sf_dir)
@@ -144,11 +145,15 @@ def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("query_id", F.inline(slots))
         .withColumn("page_id", (_turn_number() * 17 + F.col("salto") * 11) % n_pages)
     )
+    more = [] if topics is None else [c for c in topics.columns if c != "query_id"]
+    if topics is not None:
+        wanted = wanted.join(topics, "query_id")
     return wanted.join(pages, "page_id").select(
         "query_id", "ronda", "pos",
         F.col("url").alias("link"),
         F.when(F.col("page_id") % 17 == 0, "").otherwise(F.col("titulo")).alias("title"),
         F.when(F.col("page_id") % 19 != 0, F.col("descripcion")).alias("snippet"),
+        *more,
     )
 
 

@@ -416,3 +416,17 @@ def test_keywords_of_few_syllables_meet_few_tokens(spark):
     got = [(r.ficha, r.palabra) for r in tm.token_keywords(known.select("ficha"), wanted).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert tm.may_contain(known, wanted).count() < 2 * len(want)
+
+
+def test_relevance_shuffles_no_text_per_place(spark, sf_dir):
+    """Topics meet the places first; the texts of pages join last, so their rows are not exchanged once per place."""
+    from bindings.queries import relevance
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = relevance(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 2 and "page_id" in joins[0] and "query_id" in joins[1]
