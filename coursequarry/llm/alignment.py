@@ -181,25 +181,30 @@ def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) ->
     key = (link_doc << 32) | (all_a[pr[linked]] << _PAIR_SHIFT) | all_b[pc[linked]]
     keys, counts = np.unique(key, return_counts=True)
     key_cut = np.searchsorted(keys >> 32, np.arange(n + 1))
-    cuts = end_a[np.isin(end_a, end_b, assume_unique=True)]
-    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-    cut_doc = doc_a[np.searchsorted(end_a, cuts)]
-    in_group = np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts))
+    # Ends rise within each side, so groups are running counts of the common ends, without a sort or a search.
+    ends_here = np.zeros(len(target) + 1, bool)
+    ends_here[end_b] = True
+    cut_a = ends_here[end_a]
+    ends_here[:] = False
+    ends_here[end_a] = True
+    cut_b = ends_here[end_b]
+    cuts = end_a[cut_a]
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    cut_doc = doc_a[cut_a]
+    size_a, size_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    in_group = size_a * size_b
     n_groups = np.bincount(cut_doc, minlength=n)
     n_links = np.bincount(link_doc, minlength=n)
     shared = np.bincount(cut_doc, in_group, n).astype(np.int64)
     # The group text of the block; a text's part ends before the `;` after its last group.
-    side = np.concatenate([np.zeros(len(all_a), np.int8), np.ones(len(all_b), np.int8)])
-    group = np.concatenate([group_a, group_b])
-    ids = np.concatenate([all_a, all_b])
-    owner = np.concatenate([doc_a, doc_b])
-    order = np.lexsort((np.arange(len(ids)), side, group))
-    ids, side, group, owner = ids[order], side[order], group[order], owner[order]
-    last = np.ones(len(ids), bool)
-    last[:-1] = (side[1:] != side[:-1]) | (group[1:] != group[:-1])
+    # A token stands after all tokens of earlier groups and, on side B, after its group's A tokens.
+    place_a = np.arange(len(all_a)) + (np.cumsum(size_b) - size_b)[group_a]
+    place_b = np.arange(len(all_b)) + np.cumsum(size_a)[group_b]
+    ids = np.empty(len(all_a) + len(all_b), np.int64)
+    ids[place_a], ids[place_b] = all_a, all_b
     sep = np.full(len(ids), ord(","), np.uint8)
-    sep[last & (side == 0)] = ord("|")
-    sep[last & (side == 1)] = ord(";")
+    sep[place_a[cut_a]] = ord("|")
+    sep[place_b[cut_b]] = ord(";")
     digits = _LOADED["digits"]
     width = digits[2][ids] + 1
     text = np.empty(int(width.sum()), np.uint8)
@@ -208,7 +213,7 @@ def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) ->
     hole[at] = False
     text[hole] = _gather(ids, digits)
     text[at] = sep
-    first = np.searchsorted(owner, np.arange(n + 1))
+    first = np.concatenate([[0], np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n))])
     begin = np.concatenate([[0], at + 1])
     out = []
     for d in range(n):

@@ -59,3 +59,17 @@ def test_block_equals_one_by_one(edges, sf_docs):
         one = alignment.align_one(x, y, np.frombuffer((" " + t).encode(), np.uint8) if t else np.zeros(0, np.uint8), ta, tb)
         assert g == one, t[:40]
     assert alignment.align_block([], [], [], ta, tb) == []
+
+
+def test_block_groups_without_sorting(monkeypatch, edges):
+    """Groups and their text come from running counts; sorts and searches over all tokens cost CPU time."""
+    import numpy as np
+    a, b, ta, tb = alignment.load(A, B)
+    texts = [t or "" for _, t in edges if len(t or "") < 5000]
+    ids_a = [np.array(a.encode(" " + t, add_special_tokens=False).ids if t else [], np.int64) for t in texts]
+    ids_b = [np.array(b.encode(t) if t else [], np.int64) for t in texts]
+    want = [alignment.align_one(x, y, np.frombuffer((" " + t).encode(), np.uint8) if t else np.zeros(0, np.uint8), ta, tb)
+            for t, x, y in zip(texts, ids_a, ids_b)]
+    for name in ("lexsort", "isin"):
+        monkeypatch.delattr(np, name)
+    assert alignment.align_block(ids_a, ids_b, texts, ta, tb) == want
