@@ -12,6 +12,11 @@ of bytes they share; links are the pairs whose byte ranges end together. Offsets
 the text into groups; the group-incidence product G_A·G_Bᵀ counts the pairs of tokens sharing a group
 (`n_shared`, its number of entries, computed from the group sizes without listing the pairs).
 
+Neither tokenizer lets a token or a merge cross from a letter or sign to a space before another one, so texts are
+cut there and the tokenizers see each distinct word of a block once (a bounded memo per worker keeps its ids); the
+products still run over every text's own tokens and bytes. Texts with other spaces, and all texts where `cuts_at_spaces`
+does not find such a pair of tokenizers, are encoded whole.
+
 Corpus-wide, Spark counts every (A id, B id) pair over the links of all rows (map-side partial sums, so a pair
 that a third of all links hold does not make one task large), finds each B id's highest count, and scores every
 row's links against them: `n_best` links whose count is their B id's highest (ties included) and `count_sum`.
@@ -23,18 +28,30 @@ are handled in numpy in time linear in their bytes; extra columns of the caller
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from coursequarry.llm.bpe import _SYMBOLS
 from coursequarry.sources.scratch import cut_lineage
 
 BROADCAST_PAIRS = 2_000_000
 BLOCK_BYTES = 1 << 20  # texts are encoded together up to this many bytes (a longer text alone)
+# A worker forgets the words it keeps before a block when they are more, or have more ids, than this.
+WORD_MEMO, MEMO_IDS = 300_000, 8_000_000
 _PAIR_SHIFT = 16  # B ids are below 2**16 in the vocabularies in use
 _LOADED: dict = {}
+# Words of printable ASCII, Latin letters and line feeds, and A's pattern over them. No lone surrogates or marks.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[!-~\n{_LETTERS}]+")
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+_OUTER = re.compile(r"\S(.*\S)?", re.DOTALL)
 
 OUT = ("_al_doc long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups string, "
        "pair_keys array<long>, pair_counts array<long>")
@@ -81,10 +98,123 @@ def load(path_a: str, path_b: str):
             piece = b.id_to_piece(i)
             table_b.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
         _LOADED[key] = (a, b, _flat(table_a), _flat(table_b))
+        _LOADED["words", key] = WordIds(a, b)
         _LOADED["digits"] = _flat([str(i).encode() for i in range(max(len(table_a), len(table_b)))])
     return _LOADED[key]
 
 
+def word_ids(path_a: str, path_b: str) -> WordIds:
+    """The words this Python worker keeps."""
+    load(path_a, path_b)
+    return _LOADED["words", (path_a, path_b)]
+
+
+def cuts_at_spaces(a, b) -> bool:
+    """Whether no token of A or B can depend on both sides of a space that stands between two other characters.
+
+    A: GPT-2's pattern without a normaliser; B: merges over unnormalised text, and no piece with a space after
+    another character.
+    """
+    rules = json.loads(a.to_str())
+    cutter = rules["pre_tokenizer"] or {}
+    if not (rules["normalizer"] is None and rules["model"]["type"] == "BPE" and cutter.get("type") == "ByteLevel"
+            and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+            and not rules["truncation"] and not rules["padding"] and a.encode_special_tokens
+            and all(t["special"] for t in rules["added_tokens"])):
+        return False
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # the model's settings cannot be read without protobuf
+        return False
+    model = sentencepiece_model_pb2.ModelProto.FromString(b.serialized_model_proto())
+    normal, trained = model.normalizer_spec, model.trainer_spec
+    plain = all(p.type not in (p.USER_DEFINED, p.UNUSED) and "▁" not in p.piece.lstrip("▁") for p in model.pieces)
+    return plain and trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix and not (
+        normal.precompiled_charsmap or normal.remove_extra_whitespaces) and (
+        normal.add_dummy_prefix and normal.escape_whitespaces)
+
+
+class WordIds(dict):
+    """Word -> its number among the words this worker keeps, for words without outer spaces.
+
+    `sides` has, for A (each word with the space before it) and for B, the ids of all kept words end to end and where
+    each word's begin (one more at the end). All is forgotten when full, so that it stays bounded.
+    """
+
+    def __init__(self, a, b):
+        super().__init__()
+        self.a, self.b, self.model, self.cuts = a, b, a.model, cuts_at_spaces(a, b)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.sides = [(np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in range(2)]
+
+    def _word(self, word: str) -> list[int]:
+        """A's ids of a word and the space before it."""
+        text = " " + word
+        if not _PLAIN.fullmatch(word):
+            return self.a.encode(text, add_special_tokens=False).ids
+        out = []
+        for piece in _CUT.findall(text):
+            symbols = piece.replace(" ", "Ġ").replace("\n", "Ċ") if piece.isascii() else "".join(
+                [_SYMBOLS[c] for c in piece.encode()])
+            out += [t.id for t in self.model.tokenize(symbols)]
+        return out
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words; those not kept are encoded together and kept."""
+        if len(self) > WORD_MEMO or max(len(ids) for ids, _ in self.sides) > MEMO_IDS:
+            self.forget()
+        new = [w for w in words if w not in self]
+        texts = [w.decode() for w in new]
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        self.sides = [_appended(side, more) for side, more in zip(
+            self.sides, ([self._word(t) for t in texts], self.b.encode(texts, num_threads=1)))]
+        return np.array([self[w] for w in words], np.int64)
+
+
+def _appended(side, more: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, begin = side
+    sizes = np.array([len(m) for m in more], np.int64)
+    own = np.fromiter(chain.from_iterable(more), np.int32, int(sizes.sum()))
+    return np.concatenate([ids, own]), np.concatenate([begin, begin[-1] + np.cumsum(sizes)])
+
+
+def encode_block(texts: list[str], words: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A ids of all texts end to end, how many each text has, and the same of B."""
+    split = pc.split_pattern(pa.array(texts, pa.large_string()).cast(pa.large_binary()), b" ")
+    known = split.flatten().dictionary_encode()
+    which, first = known.indices.to_numpy(), split.offsets.to_numpy()
+    distinct = known.dictionary.to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+    # Texts with spaces at an end or beside white space are encoded whole: they become words of their own.
+    whole = np.full(len(texts), not words.cuts)
+    bad = np.array([not w or not (w[0] > 32 and 32 < w[-1] < 128 or _OUTER.fullmatch(w.decode()))
+                    for w in distinct.tolist()], bool)
+    whole[text_of[bad[which]]] = True
+    by_words = ~whole[text_of]
+    use = np.flatnonzero(np.bincount(which[by_words], minlength=len(distinct)))
+    number = np.zeros(len(distinct), np.int64)
+    number[use] = words.look_up(distinct[use].tolist())
+    at_whole = np.flatnonzero(whole)
+    units = number[which]
+    units[~by_words] = len(words)  # no ids
+    units[first[at_whole]] = len(words) + 1 + np.arange(len(at_whole))
+    odd = [texts[k] for k in at_whole]
+    ids_a = [e.ids for e in words.a.encode_batch_fast([" " + t for t in odd], add_special_tokens=False)] if odd else []
+    ids_b = words.b.encode(odd, num_threads=1) if odd else []
+    out = []
+    for side, more in zip(words.sides, (ids_a, ids_b)):
+        every, begin = _appended(side, [[], *more])
+        size = np.diff(begin)[units]
+        end = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((begin[units] - end[:-1]).astype(np.int32), size)
+        at += np.arange(end[-1], dtype=np.int32)
+        out += [every[at], np.diff(end[first])]
+    return tuple(out)
+
+
 def _gather(ids: np.ndarray, table) -> np.ndarray:
     flat, starts, lengths = table
     size = lengths[ids]
@@ -157,6 +287,14 @@ def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) ->
     count_b = np.array([len(x) for x in ids_b], np.int64)
     all_a = np.concatenate(ids_a).astype(np.int64) if n else np.zeros(0, np.int64)
     all_b = np.concatenate(ids_b).astype(np.int64) if n else np.zeros(0, np.int64)
+    ok, frame = align_flat(all_a, count_a, all_b, count_b, texts, table_a, table_b)
+    return [row if good else None for good, row in zip(ok, frame.to_pylist())]
+
+
+def align_flat(all_a: np.ndarray, count_a: np.ndarray, all_b: np.ndarray, count_b: np.ndarray, texts: list[str],
+               table_a, table_b) -> tuple[np.ndarray, pa.RecordBatch]:
+    """`align_block` over the ids of all texts end to end: which texts have tokens, and the columns of all texts."""
+    n = len(texts)
     doc_a, doc_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
     targets = [(" " + t).encode() if t else b"" for t in texts]
     size = np.array([len(t) for t in targets], np.int64)
@@ -178,9 +316,8 @@ def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) ->
     pr, pc = rows[new], cols[new]
     linked = end_a[pr] == end_b[pc]
     link_doc = doc_a[pr[linked]]
-    key = (link_doc << 32) | (all_a[pr[linked]] << _PAIR_SHIFT) | all_b[pc[linked]]
+    key = (link_doc << 32) | (all_a[pr[linked]].astype(np.int64) << _PAIR_SHIFT) | all_b[pc[linked]]
     keys, counts = np.unique(key, return_counts=True)
-    key_cut = np.searchsorted(keys >> 32, np.arange(n + 1))
     # Ends rise within each side, so groups are running counts of the common ends, without a sort or a search.
     ends_here = np.zeros(len(target) + 1, bool)
     ends_here[end_b] = True
@@ -213,56 +350,50 @@ def align_block(ids_a: list, ids_b: list, texts: list[str], table_a, table_b) ->
     hole[at] = False
     text[hole] = _gather(ids, digits)
     text[at] = sep
-    first = np.concatenate([[0], np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n))])
-    begin = np.concatenate([[0], at + 1])
-    out = []
-    for d in range(n):
-        if not ok[d]:
-            out.append(None)
-            continue
-        k0, k1 = key_cut[d], key_cut[d + 1]
-        out.append({"n_a": int(count_a[d]), "n_b": int(count_b[d]), "n_groups": int(n_groups[d]),
-                    "n_links": int(n_links[d]), "n_shared": int(shared[d]),
-                    "groups": text[begin[first[d]]:begin[first[d + 1]] - 1].tobytes().decode(),
-                    "pair_keys": (keys[k0:k1] & 0xFFFFFFFF).tolist(), "pair_counts": counts[k0:k1].tolist()})
-    return out
+    # Texts found wrong by their bytes alone stand among the others still; they get no row of any column.
+    tokens = np.concatenate([[0], np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n))])
+    begin = np.concatenate([[0], at + 1])[tokens]
+    own = text.tobytes()
+    groups = [own[i:j - 1].decode() if good else "" for good, i, j in zip(ok, begin.tolist(), begin[1:].tolist())]
+    good_key = ok[keys >> 32]
+    key_cut = np.concatenate([[0], np.cumsum(np.bincount((keys >> 32)[good_key], minlength=n))]).astype(np.int32)
+    columns = {name: pa.array(np.where(ok, v, 0).astype(np.int64)) for name, v in (
+        ("n_a", count_a), ("n_b", count_b), ("n_groups", n_groups), ("n_links", n_links), ("n_shared", shared))}
+    columns["groups"] = pa.array(groups, pa.string())
+    for name, v in (("pair_keys", keys & 0xFFFFFFFF), ("pair_counts", counts)):
+        columns[name] = pa.ListArray.from_arrays(pa.array(key_cut), pa.array(v[good_key]))
+    return ok, pa.RecordBatch.from_pydict(columns)
+
+
+def _blocks(sizes: list[int]):
+    start, size = 0, 0
+    for k, more in enumerate(sizes):
+        if size and size + more > BLOCK_BYTES:
+            yield start, k
+            start, size = k, 0
+        size += more
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _batches(path_a: str, path_b: str):
-    empty = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_shared": 0, "groups": "", "pair_keys": [],
-             "pair_counts": []}
-
-    def blocks(texts):
-        start, size = 0, 0
-        for k, t in enumerate(texts):
-            if size and size + len(t) > BLOCK_BYTES:
-                yield start, k
-                start, size = k, 0
-            size += len(t)
-        if start < len(texts):
-            yield start, len(texts)
-
-    def run(frames):
-        a, b, table_a, table_b = load(path_a, path_b)
-        for pdf in frames:
-            texts = [t if isinstance(t, str) else "" for t in pdf["_al_text"]]
-            docs = pdf["_al_doc"].values
-            for i, j in blocks(texts):
+    def run(batches):
+        _, _, table_a, table_b = load(path_a, path_b)
+        words = word_ids(path_a, path_b)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("_al_text").to_pylist()]
+            for i, j in _blocks([len(t) for t in texts]):
                 part = texts[i:j]
-                ids_a = [np.array(e.ids, np.int64) for e in a.encode_batch_fast(
-                    [" " + t for t in part], add_special_tokens=False)]
-                ids_b = [np.array(e, np.int64) for e in b.encode(part, num_threads=1)]
-                out = [got or empty for got in align_block(ids_a, ids_b, part, table_a, table_b)]
-                frame = pd.DataFrame(out, columns=list(empty))
-                frame.insert(0, "_al_doc", docs[i:j])
-                yield frame
+                _, found = align_flat(*encode_block(part, words), part, table_a, table_b)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_al_doc").slice(i, j - i), *found.columns], ["_al_doc", *found.schema.names])
     return run
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per row of `docs`: doc_id, n_a, n_b, n_groups, n_links, n_shared, groups and its links as (pair key, count)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_al_doc"), F.col("text").cast("string").alias("_al_text"))
-    return rows.mapInPandas(_batches(path_a, path_b), OUT).withColumnRenamed("_al_doc", "doc_id")
+    return rows.mapInArrow(_batches(path_a, path_b), OUT).withColumnRenamed("_al_doc", "doc_id")
 
 
 def pair_id(key):

@@ -73,3 +73,61 @@ def test_block_groups_without_sorting(monkeypatch, edges):
     for name in ("lexsort", "isin"):
         monkeypatch.delattr(np, name)
     assert alignment.align_block(ids_a, ids_b, texts, ta, tb) == want
+
+
+def _odd_texts(edges, sf_docs):
+    return [t or "" for _, t in edges if len(t or "") < 50_000] + [t or "" for _, t in sf_docs[:100]] + [
+        "", " ", "  ", "x ", " x", "a  b", "a \n b", "a\n\nb c", "a\n b", "a b\n", "a\tb c", "a b c", "▁", "a▁ b", "a ▁b",
+        "it's don't 'tis l'été 12 a1b2!! x.\nAnd... <|endoftext|> <s> <0x41>", "é a ́b", "　a b\x85", "a\x1cb \x1f c",
+        "日本 🙂🙂 x ½ª²", "a\x00 b", "ÀÖ×÷øÿ ªº É.\nÉ"]
+
+
+def test_words_give_the_ids_of_whole_texts(monkeypatch, edges, sf_docs):
+    import numpy as np
+    a, b, _, _ = alignment.load(A, B)
+    texts = _odd_texts(edges, sf_docs)
+    whole_a = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    whole_b = [[] if "▁" in t else x for t, x in zip(texts, b.encode(texts))]  # these have no tokens in either form
+    words = alignment.WordIds(a, b)
+    assert words.cuts
+    for limit, cuts in ((alignment.WORD_MEMO, True), (0, True), (0, False)):
+        monkeypatch.setattr(alignment, "WORD_MEMO", limit)
+        words.cuts = cuts
+        for part in (slice(None), slice(5, 30), slice(30, None)):
+            ids_a, n_a, ids_b, n_b = alignment.encode_block(texts[part], words)
+            assert [x.tolist() for x in np.split(ids_a, np.cumsum(n_a)[:-1])] == whole_a[part]
+            got = [x.tolist() for x in np.split(ids_b, np.cumsum(n_b)[:-1])]
+            assert [[] if "▁" in t else x for t, x in zip(texts[part], got)] == whole_b[part]
+
+
+def test_tokenizers_see_a_word_once():
+    a, b, _, _ = alignment.load(A, B)
+    seen = []
+
+    class Seen:
+        def encode(self, texts, num_threads):
+            seen.extend(texts)
+            return b.encode(texts, num_threads=num_threads)
+
+    words = alignment.WordIds(a, b)
+    words.b = Seen()
+    for _ in range(2):
+        alignment.encode_block(["one two one.\nTwo one", "two " * 500 + "three"], words)
+    assert sorted(seen) == ["one", "one.\nTwo", "three", "two"]
+
+
+def test_tokenizers_that_look_past_spaces_get_whole_texts():
+    from tokenizers import Tokenizer, normalizers
+    a, b, _, _ = alignment.load(A, B)
+    assert alignment.cuts_at_spaces(a, b)
+    other = Tokenizer.from_file(A)
+    assert not alignment.cuts_at_spaces(other, b)  # takes strings of special tokens out of a text
+    other.encode_special_tokens = True
+    assert alignment.cuts_at_spaces(other, b)
+    other.normalizer = normalizers.NFC()
+    assert not alignment.cuts_at_spaces(other, b)
+    words = alignment.WordIds(other, b)
+    text = "one two " * 3 + "é"
+    ids_a, _, ids_b, _ = alignment.encode_block([text], words)
+    assert ids_a.tolist() == other.encode(" " + text, add_special_tokens=False).ids and ids_b.tolist() == b.encode(text)
+    assert len(words) == 0
