@@ -68,7 +68,7 @@ def decode_values(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) ->
 
 
 class _Encoder:
-    """The library's encoder behind bounded memos: it sees each distinct piece of a word once."""
+    """The library's encoder behind bounded memos: it sees each distinct word of one piece, or piece of other words, once."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -85,7 +85,7 @@ class _Encoder:
         pieces = cut_word(word)
         if pieces is None:
             return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        return b"".join([self.pieces[p] for p in pieces])
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
 
 _encoders: dict[str, _Encoder] = {}

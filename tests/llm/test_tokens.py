@@ -1,6 +1,7 @@
 """Token files and BPE against the tokenizers library."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -62,6 +63,22 @@ def test_memo_stays_bounded():
     assert len(memo) <= 10
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abstIé.,!'?1 \n\u0301\u0338<|>×"), max_size=40))
+def test_signs_cut_off_words_change_no_id(own, tokenizer, text):
+    texts = [text, "", text + "a", ".", text]
+    ids, offsets = bpe.encode_texts(pa.array(texts), own.words)
+    got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_looked_up_once_whatever_sign_follows(tokenizer):
+    encoder = tf._Encoder(bpe.read_definition(vocabulary()))
+    text = "one, One! one. one two... two"
+    assert bpe.encode_texts(pa.array([text]), encoder.words)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(encoder.words) == [b"!", b",", b".", b"...", b"one", b"two"] and set(encoder.pieces) == set()
+
+
 def test_token_files_over_edges(spark, edge_docs, edges, tokenizer, tmp_path, monkeypatch):
     monkeypatch.setattr(tf, "PART_IDS", 5000)
     monkeypatch.setattr(tf, "BLOCK_IDS", 700)
