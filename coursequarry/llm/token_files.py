@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from coursequarry.llm.bpe import PIECE_MEMO, WORD_MEMO, Words, cut_word, encode_texts, in_symbols, read_definition, text_blocks
 from coursequarry.llm.tables import range_bounds
+from coursequarry.llm.words import column_bytes, row_blocks
 from coursequarry.sources.scratch import cut_lineage, scratch_path
 
 END_ID = 1
 PART_IDS = 4_000_000
 BLOCK_IDS = 500_000
+CODE_BYTES = 2_000_000  # ids are coded together up to this many bytes (a longer document alone)
 BLOCKS = ("part int, block int, start long, n long, doc_ids array<long>, lengths array<int>, "
           "control binary, data binary")
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -48,6 +50,23 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), data.tobytes()
 
 
+def encode_rows(values: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """`encode_values` of many documents end to end: control and data bytes of each. `offsets`: where they begin."""
+    lengths = np.diff(offsets)
+    values = np.ascontiguousarray(values, "<u4")
+    more = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    control_at = np.concatenate([[0], np.cumsum(-(-lengths // 4))])
+    codes = np.zeros(int(control_at[-1]) * 4, np.uint8)
+    codes[np.repeat(control_at[:-1] * 4 - offsets[:-1], lengths) + np.arange(len(values))] = more
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    data_at = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[offsets] + offsets
+    return tuple(pa.Array.from_buffers(pa.large_binary(), len(lengths), [
+        None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(own)]).cast(pa.binary())
+        for at, own in ((control_at, control), (data_at, data)))
+
+
 def decode_values(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The values of consecutive documents; `lengths` has the number of values of each."""
     width = _LENGTHS[control].ravel()
@@ -82,6 +101,8 @@ class _Encoder:
         return array("I", [t.id for t in self.model.tokenize(in_symbols(piece))]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._piece(word.lower().decode())
         pieces = cut_word(word)
         if pieces is None:
             return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
@@ -179,15 +200,16 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
     bounds = range_bounds(plain, "doc_id", max(1, -(-total // PART_IDS)))
 
     def code(batches):
+        width = np.dtype(kind).itemsize
         for batch in batches:
-            part, control, data = [], [], []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                c, d = encode_values(shared.value[np.frombuffer(ids.as_buffer(), kind)])
-                part.append(0 if doc_id is None else bisect_right(bounds, doc_id))
-                control.append(c), data.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), batch.column("doc_id"), pa.array(control, pa.binary()),
-                 pa.array(data, pa.binary())], ["part", "doc_id", "control", "data"])
+            ids, offsets = column_bytes(batch.column("ids"))
+            for i, j in row_blocks(offsets, CODE_BYTES):
+                own = np.frombuffer(ids[offsets[i]:offsets[j]].tobytes(), kind)
+                doc_ids = batch.column("doc_id").slice(i, j - i)
+                part = [0 if d is None else bisect_right(bounds, d) for d in doc_ids.to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), doc_ids, *encode_rows(shared.value[own], (offsets[i:j + 1] - offsets[i]) // width)],
+                    ["part", "doc_id", "control", "data"])
 
     coded = plain.mapInArrow(code, "part int, doc_id long, control binary, data binary")
     ordered = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first())

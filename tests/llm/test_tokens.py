@@ -63,6 +63,15 @@ def test_memo_stays_bounded():
     assert len(memo) <= 10
 
 
+@pytest.mark.parametrize("lengths", [[], [0], [1], [3, 0, 4, 5, 0, 1, 9, 400]])
+def test_rows_are_coded_like_single_documents(lengths):
+    rng = np.random.default_rng(3)
+    docs = [(rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype("<u4") for n in lengths]
+    offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
+    control, data = tf.encode_rows(np.concatenate([np.zeros(0, "<u4"), *docs]), offsets)
+    assert list(zip(control.to_pylist(), data.to_pylist())) == [tf.encode_values(d) for d in docs]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abstIé.,!'?1 \n\u0301\u0338<|>×"), max_size=40))
 def test_signs_cut_off_words_change_no_id(own, tokenizer, text):
