@@ -74,37 +74,38 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame
         run, "doc_id long, fingerprint string")
 
 
-def _range_of(value: Column, bounds: list, low: int, high: int) -> Column:
-    """The number of bounds that are not above the value, as a tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(value >= bounds[mid], _range_of(value, bounds, mid + 1, high)).otherwise(
-        _range_of(value, bounds, low, mid))
+def _range_of(value: Column, bounds: list) -> Column:
+    """The number of bounds that are not above the value: a binary search in a constant array, whatever their number."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*[F.lit(b) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    # A step past the last bound compares with null.
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda found, step: found + F.when(
+        F.get(listed, found + step - 1) <= value, step).otherwise(0))
 
 
 def with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Partitions of (guest, doc_id, text) in descending doc_id order, each with the row that follows its last.
 
     Ranges of doc_id are cut by quantiles; the first row of each range is also sent, as a guest, to the
-    range before it, and the very first one to the last range. Texts are shuffled once.
+    range before it, and the very first one to the last range. Texts are shuffled once. The driver holds three
+    numbers a range, in arrays that a row looks up by its range, so the plan is as deep for thousands of ranges as for two.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bounds = range_bounds(rows, "doc_id", max(1, -(-size // part_bytes)))
     n = len(bounds) + 1
-    place = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(
-        F.lit(n - 1) - _range_of(F.col("doc_id"), bounds, 0, len(bounds)))
-    heads = {r: h for r, h in rows.groupBy(place.alias("r")).agg(F.max("doc_id")).collect()}  # n + 1 rows at most
+    place = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.lit(n - 1) - _range_of(F.col("doc_id"), bounds))
+    heads = dict(rows.groupBy(place.alias("r")).agg(F.max("doc_id")).collect())  # n + 1 rows at most
     filled = sorted(heads)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}  # the one before the first is the last
-    guest = F.lit(None).cast("int")
-    for r, h in heads.items():
-        hit = F.col("doc_id").isNull() if h is None else F.col("doc_id") == h
-        guest = F.when(hit, F.lit(before[r])).otherwise(guest)
-    copies = F.array(F.struct(place.cast("int").alias("part"), F.lit(0).alias("guest")),
-                     F.struct(guest.alias("part"), F.lit(1).alias("guest")))
-    return rows.withColumn("_c", F.explode(F.filter(copies, lambda c: c["part"].isNotNull()))).select(
+    head, goes_to = (F.array(*[F.lit(of.get(r)).cast(kind) for r in range(n + 1)]) for of, kind in ((heads, "long"), (before, "int")))
+    copies = F.array(F.struct(F.col("part"), F.lit(0).alias("guest")),
+                     F.struct(F.when(F.col("doc_id").eqNullSafe(F.get(head, F.col("part"))), F.get(goes_to, F.col("part"))).alias("part"),
+                              F.lit(1).alias("guest")))
+    return rows.withColumn("part", place.cast("int")).withColumn(
+        "_c", F.explode(F.filter(copies, lambda c: c["part"].isNotNull()))).select(
         "_c.part", "_c.guest", "doc_id", "text").repartitionById(n + 1, "part").sortWithinPartitions(
         "guest", F.col("doc_id").desc_nulls_last(), "text").select("guest", "doc_id", "text")
 

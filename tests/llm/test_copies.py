@@ -179,6 +179,13 @@ def test_edited_texts_of_odd_ids(spark):
     assert [(r.n_chars, r.edited_sha256, r.near_next) for r in one] == [(4, brute.sha("abab"), 1.0)]
 
 
+def test_edited_texts_over_many_ranges(spark):
+    """As many ranges as 24 GB of texts have; a plan that nests one expression a range overflows the stack."""
+    rows = [(7 * i, f"{i} a{i % 5} b") for i in range(1500)]
+    assert fp.with_next(frame(spark, rows), 10).rdd.getNumPartitions() > 1000
+    assert by_id(fp.edited_fingerprints(frame(spark, rows), part_bytes=10), "n_chars", "edited_sha256") == brute.edited(rows)
+
+
 def test_fingerprints_estimate_jaccard():
     rng = random.Random(9)
     a = words(rng, 400).split()
