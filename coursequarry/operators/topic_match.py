@@ -9,10 +9,9 @@ token of that text. The match is therefore worked out once per distinct token, n
    (equi-join; adaptive execution knows the written table's size and broadcasts it where it is small);
 3. keywords that very many resources hold are scored once for all topics that have the same ones; only resources with
    one of a topic's rarer keywords are scored for that topic (`best_matches`);
-4. or, exactly and without a notion of common keywords, by a block-max index (`block_max_best`): posting lists cut
-   into blocks of page ids, each with the largest weight a keyword has in it; a topic's bound for a block is the sum
-   of those weights times the keyword's count. The best blocks are scored first; only blocks whose bound still
-   reaches the score of the `limit`-th page found are scored after them.
+4. or, exactly and without a notion of common keywords, over packed shards of pages (`block_max_best`): the scores of
+   a whole shard are added up in numpy per topic, and only pages of blocks whose best score reaches the `limit`-th
+   found so far are looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursequarry import fixed_values as fv
 from coursequarry.functions import text as tx
+from coursequarry.operators import block_scores
 from coursequarry.sources.scratch import cut_lineage
 
 # A keyword is looked up by its first 1, 2, 3, 5, 8 or 12 letters, the most it has. Words are made of few syllables, so
@@ -30,6 +30,9 @@ BROADCAST_KEYWORDS = 300_000
 _BLOCK = 256
 COMMON = 150
 BLOCK_PAGES = 4
+SHARD_POSTINGS = 2_000_000
+GROUP_TOPICS = 65_536
+STRIPES = 4
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -163,53 +166,59 @@ def best_matches(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_TO
     return _best(either, "tema", limit)
 
 
-def _scored_blocks(chosen: DataFrame, keywords: DataFrame, found: DataFrame) -> DataFrame:
-    """(tema, page_id, relevancia, confianza) of every page in the chosen (tema, bloque) blocks, exactly."""
-    return _summed(chosen.join(keywords, "tema").join(found, ["palabra", "bloque"]), "tema", "page_id")
-
-
 def block_max_best(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_TOTAL_ITEMS,
                    block: int = BLOCK_PAGES) -> DataFrame:
     """(tema, page_id, relevancia, confianza, puesto): the best `limit` resources of every topic, exactly.
 
-    Postings (keyword, page) are cut into blocks of `block` page ids; the index holds one row per keyword and block
-    with the largest weight there. A topic's bound for a block is the sum over its keywords of that weight times the
-    keyword's count, so no page of the block can score more. First the `limit` blocks of highest bound per topic are
-    scored in full (a block with a bound above zero holds a page that scores above zero, so these give `limit` pages
-    where there are as many); the `limit`-th score among them is a floor for the true one. Then only blocks whose
-    bound reaches that floor are scored. Every page left out is in a block whose bound is below the floor, so it
-    scores less than `limit` others: the result equals scoring all pairs. The top blocks per topic are taken with a
-    window that Spark limits map-side, so a topic of many requests or blocks does not make one large task.
+    Pages are dealt by hash to shards of about `SHARD_POSTINGS` (keyword, page) pairs, topics to groups of about
+    `GROUP_TOPICS`. A shard is packed once, one row per keyword, and a group gets the rows of its own keywords; so no
+    row is made per pair of topic and page, nor per topic and block. A task scores a group over every `STRIPES`-th
+    shard, one shard in memory at a time: the scores of all pages of a shard are added up in an array, the best score
+    of every block of `block` pages is taken from it, and the `limit`-th of these (or of an earlier shard's best) is a
+    floor that no page of the answer is below. Only pages that reach it are looked at, and shards whose
+    largest weights do not add up to it are skipped. A task gives `limit` rows per topic, so that the last
+    window meets `STRIPES` times as many at most. A page's confidence is the highest among its rows.
     """
     keywords = topic_keywords(topics)
-    found = cut_lineage(keyword_matches(keywords, resources).withColumn(
-        "bloque", F.floor(F.col("page_id") / block)), "palabras")
-    index = found.groupBy("palabra", "bloque").agg(F.max("peso").alias("tope"))
-    bounds = cut_lineage(keywords.join(index, "palabra").groupBy("tema", "bloque").agg(
-        F.sum(F.col("tope") * F.col("veces")).alias("cota")), "cotas")
-    order = Window.partitionBy("tema").orderBy(F.col("cota").desc(), "bloque")
-    first = bounds.withColumn("orden", F.row_number().over(order)).where(F.col("orden") <= limit).select("tema", "bloque")
-    first = cut_lineage(first, "primeros")
-    scored = cut_lineage(_scored_blocks(first, keywords, found), "puntuados")
-    tenth = _best(scored, "tema", limit).groupBy("tema").agg(
-        F.when(F.count("*") >= limit, F.min("relevancia")).alias("suelo"))
-    rest = bounds.join(first, ["tema", "bloque"], "left_anti").join(tenth, "tema", "left").where(
-        F.col("suelo").isNull() | (F.col("cota") >= F.col("suelo"))).select("tema", "bloque")
-    more = _scored_blocks(rest, keywords, found)
-    return _best(scored.unionByName(more), "tema", limit)
+    lists = cut_lineage(keywords.groupBy("tema").agg(F.collect_list(F.struct("palabra", "veces")).alias("lista")), "temas")
+    found = cut_lineage(keyword_matches(lists.select(F.inline("lista")), resources), "palabras")
+    shards = max(1, -(-found.count() // SHARD_POSTINGS))
+    stripes = min(shards, STRIPES)
+    groups = max(1, -(-lists.count() // GROUP_TOPICS))
+    packed = cut_lineage(
+        found.where("page_id is not null")
+        .withColumn("shard", F.pmod(F.xxhash64("page_id"), F.lit(shards)).cast("int"))
+        .repartitionById(shards, "shard").sortWithinPartitions("shard", "palabra")
+        .mapInArrow(block_scores.pack, block_scores.PACKED), "indice")
+    grouped = lists.withColumn("grupo", F.pmod(F.xxhash64("tema"), F.lit(groups)).cast("int"))
+    wanted = grouped.select("grupo", F.explode("lista.palabra").alias("palabra")).distinct()
+    all_groups = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grupo")
+    part = (F.col("grupo") * stripes + F.col("shard") % stripes).alias("parte")
+    postings = packed.where("palabra is not null").join(wanted, "palabra").unionByName(
+        packed.where("palabra is null").select("*", all_groups)).select(part, "shard", "palabra", "lugares", "pesos")
+    asked = grouped.select(
+        F.explode(F.sequence(F.col("grupo") * stripes, F.col("grupo") * stripes + (stripes - 1))).alias("parte"),
+        F.lit(block_scores.TOPICS).alias("shard"), "tema", "lista")
+    scored = (
+        asked.unionByName(postings, allowMissingColumns=True)
+        .repartitionById(groups * stripes, "parte").sortWithinPartitions("parte", "shard", F.col("palabra").isNotNull())
+        .drop("parte").mapInArrow(block_scores.scorer(limit, block), block_scores.SCORED)
+    )
+    return _best(scored, "tema", limit)
 
 
 def topic_search(topics: DataFrame, resources: DataFrame,
                  limit: int = fv.WEB_TOTAL_ITEMS) -> DataFrame:
     """The best valid resources per topic by relevance, then confidence, then page_id.
 
-    `resources` is (page_id, url, titulo, descripcion). Intermediate tables are written: tokens, token pairs,
-    keyword matches, keywords and winners. Texts are read once more, only for pages that won somewhere, and are reduced
-    to their level before they meet winners and requests.
+    `resources` is (page_id, url, titulo, descripcion). Intermediate tables are written: requests and valid pages (so that
+    deriving them is done once), tokens, token pairs, topics, keyword matches, their packed shards and winners. Texts are
+    read once more, only for pages that won somewhere, and are reduced to their level before they meet winners and requests.
     """
-    valid = resources.where(
+    topics = cut_lineage(topics.select("query_id", "tema", "nivel"), "peticiones")
+    valid = cut_lineage(resources.select("page_id", "url", "titulo", "descripcion").where(
         tx.is_valid_resource(F.col("url"), F.col("titulo"), F.col("descripcion"))
-    ).withColumn("confianza", tx.domain_confidence(F.col("url"), F.lit(False)))
+    ).withColumn("confianza", tx.domain_confidence(F.col("url"), F.lit(False))), "paginas")
     winners = cut_lineage(block_max_best(topics, valid, limit).drop("confianza"), "ganadores")
     pages = valid.join(winners.select("page_id").distinct(), "page_id", "left_semi").select(
         "page_id", "url", "titulo",

@@ -3,17 +3,18 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from bindings import tables as b
 from coursequarry import fixed_values as fv
 from coursequarry import schemas
-from coursequarry.operators import activity, candidates as cand, enrich as en
+from coursequarry.operators import activity, candidates as cand, enrich as en, topic_match
 from coursequarry.operators.ranking import dedupe_first
 from coursequarry.operators.topic_match import best_matches, block_max_best, topic_matches, topic_search
 from coursequarry.plans.search import SearchOptions, multilayer_search
 from coursequarry.sources import activity_log, catalogue as cat, csv_files, landed
 from coursequarry.sources.requests import prepare_topics
+from coursequarry.sources.scratch import cut_lineage
 
 
 def topics_of(spark, rows):
@@ -206,6 +207,45 @@ def test_topic_matches_equal_brute_force(spark):
         assert best == expected, (block, limit)
 
 
+def test_best_pages_over_many_shards(spark, monkeypatch):
+    """Shards, groups and stripes of every size give the best pages of all pairs: ties, hot words, many repeats, no confidence."""
+    rng = random.Random(11)
+    words = [f"{a}{c}" for a in "abcde" for c in "xyz"] + ["de", "curso"]
+    pages = spark.createDataFrame(
+        [(3 * i - 40, " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=6)) + " de", rng.choice([0.8, 0.9, None]))
+         for i in range(120)], "page_id bigint, titulo string, descripcion string, confianza double")
+    topics = topics_of(spark, [(i, " ".join(rng.choices(words, k=rng.randint(1, 5))), "es", "Todos") for i in range(60)] + [
+        (70, "de " * 300 + "ax", "es", "Todos"), (71, "nada", "es", "Todos"), (72, "de", "es", "Todos")])
+    order = Window.partitionBy("tema").orderBy(F.col("relevancia").desc(), F.col("confianza").desc(), "page_id")
+    every = topic_matches(topics, pages).withColumn("puesto", F.row_number().over(order)).where("puesto <= 6")
+    columns = ["tema", "puesto", "page_id", "relevancia", "confianza"]
+    want = sorted(map(tuple, every.select(columns).collect()))
+    assert len(want) > 300
+    for postings, group, stripes in ((10**6, 10**6, 4), (90, 20, 1), (90, 7, 3), (30, 1000, 2)):
+        monkeypatch.setattr(topic_match, "SHARD_POSTINGS", postings)
+        monkeypatch.setattr(topic_match, "GROUP_TOPICS", group)
+        monkeypatch.setattr(topic_match, "STRIPES", stripes)
+        got = block_max_best(topics, pages, 6).select(columns).collect()
+        assert sorted(map(tuple, got)) == want, (postings, group, stripes)
+
+
+def test_best_pages_write_no_row_per_topic_and_block(spark, monkeypatch):
+    written = []
+
+    def counted(df, name="paso"):
+        out = cut_lineage(df, name)
+        written.append((name, out.count()))
+        return out
+
+    pages = spark.createDataFrame([(i, "curso", f"de w{i}") for i in range(400)], "page_id bigint, titulo string, descripcion string")
+    topics = topics_of(spark, [(i, f"curso de w{i}", "es", "Todos") for i in range(200)])
+    monkeypatch.setattr(topic_match, "cut_lineage", counted)
+    best = block_max_best(topics, pages.withColumn("confianza", F.lit(0.8)), 10).collect()
+    assert len(best) == 2000 and {(r.tema, r.page_id) for r in best if r.puesto == 1} == {(f"curso de w{i}", i) for i in range(200)}
+    # 200 topics times 100 blocks of four pages would be 20,000 rows.
+    assert max(n for _, n in written) < 5_000, written
+
+
 def test_topic_search_answers_every_request(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.edu/1", "Curso de álgebra", "gratis"), (2, "http://b.com", "Álgebra", "curso avanzado"),
