@@ -54,7 +54,7 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def pack(batches) -> Iterator[pa.RecordBatch]:
-    """`PACKED` rows of matches (shard, palabra, page_id, peso, confianza) in order of shard and keyword.
+    """`PACKED` rows of matches (shard, palabra, page_id, peso, confianza), one shard after the other.
 
     The first row of a shard has no keyword: its pages, best first, and their confidences. A page without
     confidence comes last.
@@ -66,15 +66,14 @@ def pack(batches) -> Iterator[pa.RecordBatch]:
         best = np.lexsort((ids, -sure))
         place = np.empty(len(ids), np.uint16 if len(ids) <= 1 << 16 else np.uint32)
         place[best] = np.arange(len(ids))
-        words = _whole(rows.column("palabra").cast(pa.large_string()))
-        new = np.ones(len(words), bool)
-        new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new)
-        order = np.lexsort((place[of], np.cumsum(new)))
+        words = _whole(rows.column("palabra").dictionary_encode())
+        word = words.indices.to_numpy()
+        order = np.lexsort((place[of], word))
+        starts = np.searchsorted(word[order], np.arange(len(words.dictionary)))
         halves = np.rint(rows.column("peso").to_numpy() * 2).astype(np.uint8)
         yield from _slices(pa.table({
             "shard": pa.array(np.full(len(starts) + 1, shard, np.int32)),
-            "palabra": pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(starts)).cast(pa.string())]),
+            "palabra": pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary]),
             "lugares": pa.concat_arrays([pa.array([ids[best].astype(np.int64).tobytes()], pa.binary()), _binary(place[of][order], starts)]),
             "pesos": pa.concat_arrays([pa.array([sure[best].tobytes()], pa.binary()), _binary(halves[order], starts)]),
         }))

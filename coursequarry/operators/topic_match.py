@@ -85,25 +85,39 @@ def _beginning(keyword: Column) -> Column:
     return F.substring(keyword, F.lit(1), size)
 
 
-def may_contain(known: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(clave, palabra): the tokens (ficha, clave) with every keyword whose looked-up beginning they contain."""
+def looked_up(keywords: DataFrame) -> DataFrame:
+    """(palabra, trozo): every distinct keyword and the beginning it is looked up by; broadcast where they are few."""
     wanted = cut_lineage(keywords.select("palabra").distinct().withColumn("trozo", _beginning(F.col("palabra"))), "claves")
-    few = wanted.count() <= BROADCAST_KEYWORDS
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYWORDS else wanted
+
+
+def may_contain(known: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(clave, palabra): the tokens (ficha, clave) with every keyword whose looked-up beginning they contain.
+
+    `keywords` may be as of `looked_up`.
+    """
+    wanted = keywords if "trozo" in keywords.columns else looked_up(keywords)
     pieces = (
         known.select("clave", F.explode(_blocks(F.col("ficha"))).alias("bloque"))
         .select("clave", F.explode(_pieces(F.col("bloque"))).alias("trozo"))
     )
-    return pieces.join(F.broadcast(wanted) if few else wanted, "trozo").select("clave", "palabra").distinct()
+    return pieces.join(wanted, "trozo").select("clave", "palabra").distinct()
 
 
 def token_keywords(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(ficha, palabra): every distinct token with every keyword it contains."""
-    known = tokens.select("ficha").distinct().withColumn("clave", F.xxhash64("ficha"))
-    return (
-        may_contain(known, keywords).join(known, "clave")
-        .where(F.col("ficha").contains(F.col("palabra")))
-        .select("ficha", "palabra")
-    )
+    """(ficha, palabra): every distinct token with every keyword it contains.
+
+    A token of one block travels with its pieces, which are distinct, so that it meets a keyword once and is compared on
+    the spot. A longer one would be copied once for each of its pieces; it is met again by its key instead.
+    """
+    wanted = looked_up(keywords)
+    known = tokens.select("ficha").distinct()
+    holds = F.col("ficha").contains(F.col("palabra"))
+    short = known.where(F.length("ficha") <= _BLOCK)
+    long = known.where(F.length("ficha") > _BLOCK).withColumn("clave", F.xxhash64("ficha"))
+    at_once = short.select("ficha", F.explode(_pieces(F.col("ficha"))).alias("trozo")).join(wanted, "trozo")
+    by_key = may_contain(long, wanted).join(long, "clave")
+    return at_once.where(holds).select("ficha", "palabra").unionByName(by_key.where(holds).select("ficha", "palabra"))
 
 
 def keyword_matches(keywords: DataFrame, resources: DataFrame) -> DataFrame:
@@ -188,8 +202,7 @@ def block_max_best(topics: DataFrame, resources: DataFrame, limit: int = fv.WEB_
     packed = cut_lineage(
         found.where("page_id is not null")
         .withColumn("shard", F.pmod(F.xxhash64("page_id"), F.lit(shards)).cast("int"))
-        .repartitionById(shards, "shard").sortWithinPartitions("shard", "palabra")
-        .mapInArrow(block_scores.pack, block_scores.PACKED), "indice")
+        .repartitionById(shards, "shard").mapInArrow(block_scores.pack, block_scores.PACKED), "indice")
     grouped = lists.withColumn("grupo", F.pmod(F.xxhash64("tema"), F.lit(groups)).cast("int"))
     wanted = grouped.select("grupo", F.explode("lista.palabra").alias("palabra")).distinct()
     all_groups = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grupo")
