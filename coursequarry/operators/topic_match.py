@@ -16,6 +16,7 @@ token of that text. The match is therefore worked out once per distinct token, n
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursequarry import fixed_values as fv
@@ -23,6 +24,9 @@ from coursequarry.functions import text as tx
 from coursequarry.operators import block_scores
 from coursequarry.sources.scratch import cut_lineage
 
+# The workers get this module's code with the job: they need numpy and pyarrow, not the package on their path.
+cloudpickle.register_pickle_by_value(block_scores)
+
 # A keyword is looked up by its first 1, 2, 3, 5, 8 or 12 letters, the most it has. Words are made of few syllables, so
 # that beginnings of three letters alone are shared by hundreds of keywords.
 PIECES = [1, 2, 3, 5, 8, 12]
